@@ -377,6 +377,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id.
+
+    A ``doc_id`` on several rows stays once; rows without one stay as they are.
+    """
+    found = jaccard_components(docs, doc_id, text)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    named = docs.join(stay, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns)
+    return named.unionByName(docs.filter(F.col(doc_id).isNull()))
+
+
 def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between sets that hot signatures leave unsure; None if there are none to look at."""
     counted = hot.groupBy("class", "upper").agg(F.count("*").alias("n_hot"))

@@ -69,6 +69,28 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: line_verdict(x).isNull()), "\n")
 
 
+def facts(text: Column) -> Column:
+    """What the verdict rests on, as one struct."""
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
+    word_chars = lambda x: F.length(F.regexp_replace(x, SPACE, ""))
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
+    of_lines = lambda x: F.struct(
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.aggregate(x, F.lit(0), lambda n, y: n + F.when(line_verdict(y).isNotNull(), word_chars(y)).otherwise(0)).cast("long").alias("lost_chars"),
+    )
+    return F.struct(let(words_of(whole), of_words).alias("words"), let(lines, of_lines).alias("lines"), F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+
+
+def base_failed(f: Column) -> Column:
+    n = f["words"]["n_words"]
+    return (n < MIN_WORDS) | (100 * f["words"]["n_repeat_words"] > MOST_REPEATED * n)
+
+
+def is_kept(f: Column) -> Column:
+    return ~base_failed(f) & (f["lines"]["lost_chars"] <= MOST_LOST * f["words"]["word_chars"])
+
+
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept``.
 
@@ -78,24 +100,20 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     fails. Every row is judged alone, so repeated rows get equal verdicts and an empty table none.
     New columns replace clashing ones.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
-    lost = F.aggregate(lines, F.lit(0), lambda n, x: n + F.when(line_verdict(x).isNotNull(), F.length(F.regexp_replace(x, SPACE, ""))).otherwise(0))
-    judged = lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        repeated_words(w).alias("n_repeat_words"),
-    )
-    line_facts = lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    out = docs.withColumn("__w", let(words_of(whole), judged)).withColumn("__l", let(lines, line_facts))
-    out = out.withColumns({
-        "n_words": F.col("__w.n_words"),
-        "word_chars": F.col("__w.word_chars"),
-        "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": F.col("__l.n_dup_lines"),
-        "n_repeat_words": F.col("__w.n_repeat_words"),
-        "lost_chars": lost.cast("long"),
-    })
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= MOST_LOST * F.col("word_chars"))).drop("__w", "__l")
+    f = F.col("__facts")
+    out = docs.withColumn("__facts", facts(F.col(text)))
+    return out.withColumns({
+        "n_words": f["words"]["n_words"],
+        "word_chars": f["words"]["word_chars"],
+        "n_symbols": f["n_symbols"],
+        "n_dup_lines": f["lines"]["n_dup_lines"],
+        "n_repeat_words": f["words"]["n_repeat_words"],
+        "base_failed": base_failed(f),
+        "lost_chars": f["lines"]["lost_chars"],
+        "kept": is_kept(f),
+    }).drop("__facts")
+
+
+def passing(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, whole and with their own columns only."""
+    return docs.withColumn("__facts", facts(F.col(text))).filter(is_kept(F.col("__facts"))).drop("__facts")
