@@ -43,6 +43,7 @@ from .components import checkpoint_dir, connected_components
 
 WIDTH, NUM, DEN = 5, 75, 100  #: words in a shingle; similarity NUM / DEN
 SMALL, BLOCK, SEEDS = 16, 512, 24
+FEW_IDS = 1 << 20
 SMALL_GROUP = 48  #: largest size of the groups that index one-deletion neighbourhoods
 SKETCH_WORDS = 16
 TABLE = K.byte_table(0x5EED, lower=True)
@@ -68,7 +69,7 @@ def groups() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Two sets of one size r differ least when linked with r + r = union + intersection.
     most = 2 * high * (DEN - NUM) // (DEN + NUM)
     small = high <= SMALL_GROUP
-    share = 0.34 + 0.8 / np.sqrt(high)
+    share = 0.33 + 0.7 / np.sqrt(high)
     segments = np.where(small, np.ceil((most + 1) * 0.5 * 1.35 - 0.35), np.ceil(high * share)).astype(np.int64)
     return most, np.maximum(segments, 1), small
 
@@ -167,26 +168,41 @@ def _all_signatures(shingles: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.n
             part = part[take]
 
 
-def _packed(names: np.ndarray, value: np.ndarray, owner: np.ndarray, upper: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """One blob for each partition: names of the sets in it, then 6-byte signatures and 2-byte references."""
+def _packed(names: np.ndarray, slack: np.ndarray, value: np.ndarray, owner: np.ndarray, upper: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """One blob for each partition: names and slacks of the sets in it, then signatures as gaps and references.
+
+    Only 40 bits of a signature beside its partition are kept: chance meetings cost a candidate and
+    no result. Sorted, their gaps take four bytes each (eight where one gap needs more).
+    """
     part = (value % U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    value, ref, part = value[order] >> U64(16), (owner[order] << 1 | upper[order]), part[order]
+    short = value >> U64(24)
+    order = np.lexsort((short, part))
+    short, ref, part = short[order], (owner[order] << 1 | upper[order]), part[order]
     edge = np.searchsorted(part, np.arange(parts + 1))
+    seen = np.zeros(len(names), dtype=np.int64)
     for p in np.flatnonzero(np.diff(edge)):
-        v, r = value[edge[p] : edge[p + 1]], ref[edge[p] : edge[p + 1]]
-        docs, index = np.unique(r >> 1, return_inverse=True)
-        head = np.array([len(docs), len(v)], dtype=np.uint32).tobytes()
-        yield int(p), b"".join([head, names[docs].tobytes(), (v >> U64(16)).astype(np.uint32).tobytes(), (v & U64(0xFFFF)).astype(np.uint16).tobytes(), (index << 1 | (r & 1)).astype(np.uint16).tobytes()])
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    docs, n = np.frombuffer(blob, np.uint32, 2).tolist()
-    names = np.frombuffer(blob, np.int64, docs, 8)
-    at = 8 + 8 * docs
-    high, low = np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, np.uint16, n, at + 4 * n)
-    ref = np.frombuffer(blob, np.uint16, n, at + 6 * n)
-    return high.astype(U64) << U64(16) | low.astype(U64), names[ref >> 1], (ref & 1).astype(np.int8)
+        v, r = short[edge[p] : edge[p + 1]], ref[edge[p] : edge[p + 1]]
+        seen[:] = 0
+        seen[r >> 1] = 1
+        docs = np.flatnonzero(seen)
+        index = (np.cumsum(seen) - 1)[r >> 1]
+        gaps = np.diff(v, prepend=U64(0))
+        kind = np.uint32 if gaps.max() < 1 << 32 else np.uint64
+        head = np.array([len(docs), len(v), kind().itemsize], dtype=np.uint32).tobytes()
+        yield int(p), b"".join([head, names[docs].tobytes(), slack[docs].tobytes(), gaps.astype(kind).tobytes(), (index << 1 | (r & 1)).astype(np.uint16).tobytes()])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, names, 0 or 1 for the own group or the next, slack there."""
+    docs, n, width = np.frombuffer(blob, np.uint32, 3).tolist()
+    names = np.frombuffer(blob[12 : 12 + 8 * docs], np.int64)
+    at = 12 + 8 * docs
+    slack = np.frombuffer(blob, np.int16, 2 * docs, at).reshape(-1, 2)
+    at += 4 * docs
+    gaps = np.frombuffer(blob[at : at + width * n], np.uint32 if width == 4 else np.uint64)
+    ref = np.frombuffer(blob, np.uint16, n, at + width * n)
+    upper = (ref & 1).astype(np.int8)
+    return np.cumsum(gaps, dtype=U64), names[ref >> 1], upper, slack[ref >> 1, upper]
 
 
 def index(parts: int):
@@ -194,12 +210,14 @@ def index(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[np.ndarray] = []
+        slacks: list[np.ndarray] = []
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         docs = sigs = 0
 
         def flush() -> pa.RecordBatch:
             value, owner, upper = (np.concatenate(x) for x in zip(*held, strict=True))
-            blobs = list(_packed(np.concatenate(names), value, owner, upper, parts))
+            blobs = list(_packed(np.concatenate(names), np.concatenate(slacks), value, owner, upper, parts))
+            names.clear(), slacks.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
 
         for batch in batches:
@@ -214,16 +232,17 @@ def index(parts: int):
                     ends = np.concatenate([[0], np.cumsum(np.diff(at)[some])])
                     if docs + len(some) > FLUSH_DOCS:
                         yield flush()
-                        names.clear(), held.clear()
                         docs = sigs = 0
-                    names.append(whole[some])
-                    for value, owner, upper, _ in _all_signatures(shingles[take], ends):
+                    most = np.full((len(some), 2), np.iinfo(np.int64).min)
+                    for value, owner, upper, slack in _all_signatures(shingles[take], ends):
                         held.append((value, owner + docs, np.full(len(value), upper, np.int64)))
+                        most[:, upper] = np.maximum(most[:, upper], slack)
                         sigs += len(value)
+                    names.append(whole[some])
+                    slacks.append(np.clip(most, -32768, 32767).astype(np.int16))
                     docs += len(some)
                     if sigs > FLUSH_SIGS:
                         yield flush()
-                        names.clear(), held.clear()
                         docs = sigs = 0
         if held:
             yield flush()
@@ -236,7 +255,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [_unpacked(x.as_py()) for batch in batches for x in batch.column(1)]
     if not got:
         return
-    value, name, upper = (np.concatenate(x) for x in zip(*got, strict=True))
+    value, name, upper, slack = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
     order = np.argsort(value, kind="stable")
     value = value[order]
@@ -244,14 +263,14 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = np.zeros(len(value), dtype=bool)
     keep[1:] |= same
     keep[:-1] |= same
-    value, name, upper = value[keep], name[order][keep], upper[order][keep]
+    value, name, upper, slack = value[keep], name[order][keep], upper[order][keep], slack[order][keep]
     order = np.lexsort((name, value))
-    value, name, upper = value[order], name[order], upper[order]
+    value, name, upper, slack = value[order], name[order], upper[order], slack[order]
     if not len(value):
         return
     first = np.ones(len(value), dtype=bool)
     first[1:] = (value[1:] != value[:-1]) | (name[1:] != name[:-1])
-    value, name, upper = value[first], name[first], upper[first]
+    value, name, upper, slack = value[first], name[first], upper[first], slack[first]
     run = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
     size = np.repeat(np.diff(run), np.diff(run))
     start = np.repeat(run[:-1], np.diff(run))
@@ -267,30 +286,29 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = np.unique(np.concatenate(pairs), axis=0)
     for i in range(0, len(pairs), 1 << 16):
         part = pairs[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int8())], names=["a", "b", "sig", "upper"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int8()), pa.nulls(len(part), pa.int16())], names=["a", "b", "sig", "upper", "slack"])
     for i in range(0, len(hot), 1 << 16):
         part = hot[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(name[part]), pa.nulls(len(part), pa.int64()), pa.array(value[part].astype(np.int64)), pa.array(upper[part])], names=["a", "b", "sig", "upper"])
+        yield pa.RecordBatch.from_arrays([pa.array(name[part]), pa.nulls(len(part), pa.int64()), pa.array(value[part].astype(np.int64)), pa.array(upper[part]), pa.array(slack[part])], names=["a", "b", "sig", "upper", "slack"])
 
 
-def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, upper, slack: what each set's segments cost above H at its last seed, in its own group and the next."""
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a, b that link, by the whole texts beside them."""
     for batch in batches:
-        for _, _, shingles, at in _sets(batch):
-            whole = _identity(shingles, at)
-            left = {u: np.full(len(whole), np.iinfo(np.int64).min) for u in (0, 1)}
-            for _, _, upper, slack in _all_signatures(shingles, at):
-                left[upper] = np.maximum(left[upper], slack)
-            for u in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(np.full(len(whole), u, np.int8)), pa.array(left[u])], names=["class", "upper", "slack"])
+        for i in range(0, len(batch), 256):
+            part = batch.slice(i, 256)
+            left, right = ([own[at[k] : at[k + 1]] for _, _, own, at in _sets(part, c) for k in range(len(at) - 1)] for c in (2, 3))
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            fits = [DEN * n >= NUM * (len(x) + len(y) - n) for n, x, y in zip(shared, left, right, strict=True)]
+            yield part.select([0, 1]).filter(pa.array(fits, pa.bool_()))
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class and its whole shingle set."""
+def own_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows class, text whose text has the class (an id may have other texts, too)."""
     for batch in batches:
-        for _, _, shingles, at in _sets(batch):
-            values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(shingles.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_identity(shingles, at)), values], names=["class", "shingles"])
+        for first, last, shingles, at in _sets(batch):
+            part = batch.slice(first, last - first)
+            yield part.filter(pa.array(_identity(shingles, at) == part.column(0).to_numpy()))
 
 
 def near_by_sketch(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
@@ -330,16 +348,34 @@ def _not_ruled_out(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that link, by their whole shingle sets."""
+def _texts(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, text of every class in ``pairs``. Ids go out whole only if counted to be few, else both sides are dealt by id."""
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    chosen = needed.join(classes, "class").select(F.col("doc_id"))
-    rows = texts.join(chosen.distinct(), "doc_id", "left_semi").mapInArrow(sets_of, "class long, shingles array<long>")
-    known = rows.join(needed, "class", "left_semi").dropDuplicates(["class"])
-    side = lambda x: known.select(F.col("class").alias(x), F.col("shingles").alias(f"x_{x}"))
+    chosen = needed.join(classes, "class").select("doc_id", "class").checkpoint()
+    chosen = F.broadcast(chosen) if chosen.count() <= FEW_IDS else chosen.hint("merge")
+    return texts.join(chosen, "doc_id").select("class", "text").mapInArrow(own_class, "class long, text string").dropDuplicates(["class"]).checkpoint()
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    side = lambda x: known.select(F.col("class").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("x_a", "x_b"))
-    return both.filter(DEN * shared >= NUM * (F.size("x_a") + F.size("x_b") - shared)).select("a", "b")
+    return both.select("a", "b", "t_a", "t_b").mapInArrow(linked, "a long, b long").checkpoint()
+
+
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links among ``pairs`` that give their components.
+
+    First one pair of each set is verified, that with its smallest partner; then only pairs that
+    are not yet in one component. Other pairs can't change the components.
+    """
+    known = _texts(pairs, texts, classes)
+    forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(forest, known)
+    groups_ = connected_components(links)
+    of = lambda x: groups_.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    rest = pairs.join(forest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    return links.union(_verified(rest, known))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,15 +393,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = texts.mapInArrow(describe, "doc_id long, n_shingles long, class long, sketch binary").checkpoint()
     classes = described.filter("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")).checkpoint()
-    met = texts.mapInArrow(index(parts), "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "a long, b long, sig long, upper byte").checkpoint()
+    met = texts.mapInArrow(index(parts), "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "a long, b long, sig long, upper byte, slack short").checkpoint()
     pairs = met.filter("b is not null").select("a", "b").distinct()
-    links = _verified(_not_ruled_out(pairs, classes).checkpoint(), texts, classes).checkpoint()
+    links = _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
     groups_ = connected_components(links)
-    hot = met.filter("sig is not null").select("sig", F.col("a").alias("class"), "upper")
+    hot = met.filter("sig is not null").select("sig", F.col("a").alias("class"), "upper", "slack")
     more = _unsure_links(hot, groups_, classes, texts)
     if more is not None:
         groups_ = connected_components(links.union(more))
@@ -390,11 +426,9 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between sets that hot signatures leave unsure; None if there are none to look at."""
-    counted = hot.groupBy("class", "upper").agg(F.count("*").alias("n_hot"))
-    members = classes.join(counted.select("class").distinct(), "class", "left_semi").select("doc_id")
-    slack = texts.join(members, "doc_id", "left_semi").mapInArrow(spare, "class long, upper byte, slack long").distinct()
+    counted = hot.groupBy("class", "upper").agg(F.count("*").alias("n_hot"), F.min("slack").alias("slack"))
     # A hot signature of a small group may take 2 from what its set has to spare.
-    sized = counted.join(classes.select("class", "n_shingles"), "class").join(slack, ["class", "upper"])
+    sized = counted.join(classes.select("class", "n_shingles"), "class")
     loss = F.col("n_hot") * F.when(F.col("n_shingles") <= SMALL_GROUP, 2).otherwise(1)
     unsure = sized.filter(F.col("slack") - loss <= 0).select("class", "upper")
     rest = hot.join(unsure, ["class", "upper"]).join(components.withColumnRenamed("node", "class"), "class", "left")
@@ -408,4 +442,4 @@ def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, tex
     dealt = dealt.join(classes.select("class", "n_shingles", "sketch"), "class")
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "sketch", "component", F.col("own").alias("block"))
     found = dealt.groupBy("sig", "i", "j").applyInArrow(blocks, "a long, b long").distinct().checkpoint()
-    return _verified(found, texts, classes).checkpoint()
+    return _links(found, texts, classes)
