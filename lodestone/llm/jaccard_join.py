@@ -19,10 +19,10 @@ A set whose segments don't reach H+1 in total is signed again with the next seed
 sides sign with every seed up to the first at which either reaches it.
 
 Hot signatures, which more than ``SMALL`` sets share, would give all pairs of a group. They give
-only pairs with the smallest member. A set that still reaches H+1 without its hot signatures needs
-no more: each partner shares a signature that is not hot. For unsure sets of different components
-that share a hot signature, blocks of at most ``BLOCK`` members are compared block by block on
-parity sketches, so the rest is exact, and bounded in memory.
+only pairs with the smallest member. Beyond that a set may skip (threshold -1) as many signatures
+as its segments cost above H, its hottest first, since each partner shares more. For sets of
+different components that share a hot signature that neither could skip, blocks of about ``BLOCK``
+members are compared block by block on parity sketches, so the rest is exact, and bounded in memory.
 
 Verification. |x xor y| is at least the number of bits in which the parity sketches differ, which
 rules out most candidates; the others are verified on the whole shingle sets.
@@ -37,15 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import textkernel as K
 from .components import checkpoint_dir, connected_components
 
 WIDTH, NUM, DEN = 5, 75, 100  #: words in a shingle; similarity NUM / DEN
 SMALL, BLOCK, SEEDS = 16, 512, 24
-FEW_IDS = 1 << 20
+FEW_IDS = 1 << 20  #: ids of candidates that are sent out whole
+SHARE = (0.355, 1.1)  #: segments of large groups, as a share of the largest size: constant, and by the root of the size
 SMALL_GROUP = 48  #: largest size of the groups that index one-deletion neighbourhoods
-SKETCH_WORDS = 16
+LEAST_BITS = 256
 TABLE = K.byte_table(0x5EED, lower=True)
 FLUSH_DOCS, FLUSH_SIGS = 1 << 14, 1 << 21
 U64 = np.uint64
@@ -69,7 +71,7 @@ def groups() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Two sets of one size r differ least when linked with r + r = union + intersection.
     most = 2 * high * (DEN - NUM) // (DEN + NUM)
     small = high <= SMALL_GROUP
-    share = 0.33 + 0.7 / np.sqrt(high)
+    share = SHARE[0] + SHARE[1] / np.sqrt(high)
     segments = np.where(small, np.ceil((most + 1) * 0.5 * 1.35 - 0.35), np.ceil(high * share)).astype(np.int64)
     return most, np.maximum(segments, 1), small
 
@@ -90,13 +92,23 @@ def _identity(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, np.maximum(name, U64(1)), U64(0)).astype(np.int64)
 
 
-def _sketch(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The parity of the shingles that fall on each bit, SKETCH_WORDS longs a set."""
-    n, bits = len(at) - 1, SKETCH_WORDS * 64
-    owner = np.repeat(np.arange(n), np.diff(at))
-    bit = (K.mix(shingles + U64(0xB175)) >> U64(32)) % U64(bits)
-    odd = np.bincount(owner * bits + bit.astype(np.int64), minlength=n * bits).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, bits), axis=1)
+def _sketch(shingles: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The parity of the shingles that fall on each bit of a power of two of bits, one bit or more a shingle."""
+    sizes = np.diff(at)
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    bit = K.mix(shingles + U64(0xB175)).astype(np.int64) & np.repeat(width - 1, sizes)
+    odd = np.bincount(np.repeat(begin[:-1], sizes) + bit, minlength=begin[-1]).astype(np.uint8) & 1
+    packed = np.packbits(odd).tobytes()
+    return [packed[x // 8 : y // 8] for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as words, the wider ones folded to ``width`` bytes."""
+    out = np.zeros((len(sketches), width // 8), dtype=U64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, U64).reshape(-1, width // 8), axis=0)
+    return out
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +117,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, shingles, at in _sets(batch):
             sketch = _sketch(shingles, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(np.diff(at).astype(np.int64)), pa.array(_identity(shingles, at)), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                [batch.column(0).slice(first, last - first), pa.array(np.diff(at).astype(np.int64)), pa.array(_identity(shingles, at)), pa.array(sketch, pa.binary())],
                 names=["doc_id", "n_shingles", "class", "sketch"],
             )
 
@@ -319,33 +331,45 @@ def near_by_sketch(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 
 def blocks(table: pa.Table) -> pa.Table:
     """Pairs of different components within a pair of blocks that the sketches don't rule out."""
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+    held = table["sketch"].to_pylist()
+    sketch = _folded(held, min(map(len, held)))
     name, size, comp, block = (table[c].to_numpy() for c in ("class", "n_shingles", "component", "block"))
     one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    out = []
-    for i in one:
-        j = two[(comp[two] != comp[i]) & (name[two] != name[i])]
-        j = j[near_by_sketch(sketch[j], sketch[i], size[j], size[i])]
-        out.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    out = [np.zeros((0, 2), np.int64)]
+    step = max(1, (1 << 20) // max(1, len(two) * sketch.shape[1]))
+    for k in range(0, len(one), step):
+        i = one[k : k + step, None]
+        fits = near_by_sketch(sketch[i], sketch[two][None], size[i], size[two][None])
+        row, col = np.nonzero(fits & (comp[i] != comp[two][None]) & (name[i] != name[two][None]))
+        x, y = name[one[k + row]], name[two[col]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def _not_ruled_out(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and sketches allow a link."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a, b whose sketches allow a link; sketches are compared by width, a few megabytes at a time."""
+    for batch in batches:
+        left, right = batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()
+        sizes = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        width = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], dtype=np.int64)
+        fits = np.zeros(len(batch), dtype=bool)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            step = max(1, (1 << 22) // w)
+            for i in range(0, len(own), step):
+                at = own[i : i + step]
+                fits[at] = near_by_sketch(_folded([left[k] for k in at], w), _folded([right[k] for k in at], w), sizes[0][at], sizes[1][at])
+        yield batch.select(["a", "b"]).filter(pa.array(fits))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("s_a", "s_b")]
-                fits = near_by_sketch(*bits, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(fits))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _not_ruled_out(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose sizes and sketches allow a link."""
+    side = lambda x, *more: classes.select(F.col("class").alias(x), *[F.col(c).alias(f"{c[0]}_{x}") for c in more])
     # |x & y| is at most the smaller size, |x | y| at least the larger one.
-    both = both.filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
+    sized = pairs.join(side("a", "n_shingles", "sketch"), "a").join(side("b", "n_shingles", "sketch"), "b")
+    sized = sized.filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
 
 
 def _texts(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -426,12 +450,14 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between sets that hot signatures leave unsure; None if there are none to look at."""
-    counted = hot.groupBy("class", "upper").agg(F.count("*").alias("n_hot"), F.min("slack").alias("slack"))
-    # A hot signature of a small group may take 2 from what its set has to spare.
-    sized = counted.join(classes.select("class", "n_shingles"), "class")
-    loss = F.col("n_hot") * F.when(F.col("n_shingles") <= SMALL_GROUP, 2).otherwise(1)
-    unsure = sized.filter(F.col("slack") - loss <= 0).select("class", "upper")
-    rest = hot.join(unsure, ["class", "upper"]).join(components.withColumnRenamed("node", "class"), "class", "left")
+    hotness = hot.groupBy("sig").agg(F.count("*").alias("n"))
+    sized = hot.join(hotness, "sig").join(classes.select("class", "n_shingles"), "class")
+    # A partner shares signatures worth the slack. If both drop less than that, the hottest first,
+    # the coolest one that they share stays with both. In small groups one may be worth 2.
+    worth = F.when(F.col("n_shingles") <= SMALL_GROUP, 2).otherwise(1)
+    order = W.partitionBy("class", "upper").orderBy(F.col("n").desc(), "sig")
+    needed = sized.withColumn("dropped", F.row_number().over(order) * worth).filter("dropped >= slack")
+    rest = needed.join(components.withColumnRenamed("node", "class"), "class", "left")
     rest = rest.select("sig", "class", F.coalesce("component", "class").alias("component")).distinct().checkpoint()
     mixed = rest.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     mixed = mixed.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")).checkpoint()
