@@ -14,12 +14,12 @@ def _t(name):
 
 events, conversations, orders, customer, lineitem, part, nation, supplier = (_t(x) for x in "events conversations orders customer lineitem part nation supplier".split())
 r6 = lambda x: F.round(x, 6)
-n = F.count("*").alias("n")
+n = lambda: F.count("*").alias("n")
 
 
 @query("ag1_store_stats", "SELECT label AS layer, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT vec_id % 50) AS BIGINT) AS n_docs FROM embeddings GROUP BY label")
 def _(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("layer")).agg(n, F.countDistinct(F.col("vec_id") % 50).alias("n_docs"))
+    return table(spark, d, "embeddings").groupBy(F.col("label").alias("layer")).agg(n(), F.countDistinct(F.col("vec_id") % 50).alias("n_docs"))
 
 
 @query("ag5_dashboard", "SELECT (SELECT CAST(count(*) AS BIGINT) FROM customer) AS n_users, (SELECT CAST(count(*) AS BIGINT) FROM customer WHERE c_acctbal > 0) AS n_active, CAST(count(DISTINCT conv_id) AS BIGINT) AS n_conversations, CAST(count(*) AS BIGINT) AS n_messages, round(count(*) / CASE WHEN count(DISTINCT conv_id) = 0 THEN 1 ELSE count(DISTINCT conv_id) END, 6) AS per_conversation FROM conversations")
@@ -32,7 +32,7 @@ def _(spark, d):
 
 @query("ag6_cost_by_operation", "SELECT event_type AS operation, round(sum(value), 4) AS cost, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
 def _(spark, d):
-    return events(spark, d).groupBy(F.col("event_type").alias("operation")).agg(F.round(F.sum("value"), 4).alias("cost"), n)
+    return events(spark, d).groupBy(F.col("event_type").alias("operation")).agg(F.round(F.sum("value"), 4).alias("cost"), n())
 
 
 @query("ag7_agent_breakdown", "SELECT 'agent_' || CAST(user_id % 7 AS VARCHAR) AS agent, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 4) AS cost, round(avg(value), 6) AS latency FROM events WHERE event_type <> 'error' GROUP BY 1")
@@ -49,7 +49,7 @@ def _(spark, d):
     return joined.select("event_id", F.round(F.coalesce(cost, F.lit(0.0)), 9).alias("cost"))
 
 
-@query("ag9_billed_tokens", "SELECT user_id, CAST(sum(event_id % 500 + event_id % 100 + CAST(floor(0.1 * (event_id % 1000)) AS BIGINT)) AS BIGINT) AS billed, round(sum((event_id % 1000) * 0.9), 4) AS saved FROM events GROUP BY user_id")
+@query("ag9_billed_tokens", "SELECT user_id, CAST(sum(event_id % 500 + event_id % 100 + CAST(floor(0.1::DOUBLE * (event_id % 1000)) AS BIGINT)) AS BIGINT) AS billed, round(sum((event_id % 1000) * 0.9::DOUBLE), 4) AS saved FROM events GROUP BY user_id")
 def _(spark, d):
     e = F.col("event_id")
     return events(spark, d).groupBy("user_id").agg(F.sum(e % 500 + e % 100 + F.floor(e % 1000 * 0.1)).alias("billed"), F.round(F.sum(e % 1000 * 0.9), 4).alias("saved"))
@@ -65,18 +65,18 @@ def _(spark, d):
 @query("ag11_execution_stats", "SELECT user_id % 5 AS agent, event_type AS tool, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((user_id % 5), (event_type))")
 def _(spark, d):
     rows = events(spark, d).select((F.col("user_id") % 5).alias("agent"), F.col("event_type").alias("tool"), "value")
-    return rows.groupingSets([["agent"], ["tool"]], "agent", "tool").agg(n, r6(F.avg("value")).alias("mean"))
+    return rows.groupingSets([["agent"], ["tool"]], "agent", "tool").agg(n(), r6(F.avg("value")).alias("mean"))
 
 
 @query("ag12_error_stats", "SELECT kind, key, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['type', 'user', 'prop']) AS kind, unnest([event_type, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')]) AS key FROM events WHERE value < 20) WHERE key IS NOT NULL GROUP BY ALL")
 def _(spark, d):
     keys = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("prop"), F.get_json_object("props", "$.k"))
-    return events(spark, d).filter("value < 20").select(F.explode(keys).alias("kind", "key")).filter("key IS NOT NULL").groupBy("kind", "key").agg(n)
+    return events(spark, d).filter("value < 20").select(F.explode(keys).alias("kind", "key")).filter("key IS NOT NULL").groupBy("kind", "key").agg(n())
 
 
 @query("ag13_agent_efficiency", "WITH s AS (SELECT user_id, count(*) AS n, avg(value) AS lat, count(*) FILTER (WHERE value > 10) / count(*) AS ok, least(1, count(DISTINCT event_type) / count(*)) AS uniq FROM events GROUP BY user_id) SELECT user_id, CAST(n AS BIGINT) AS n, round(0.7 * ok + 0.3 * uniq, 6) AS efficiency, (SELECT max_by(user_id, (round(lat, 6), -user_id)) FROM s) AS bottleneck FROM s")
 def _(spark, d):
-    s = events(spark, d).groupBy("user_id").agg(n, F.avg("value").alias("lat"), (F.count_if(F.col("value") > 10) / F.count("*")).alias("ok"), F.least(F.lit(1.0), F.countDistinct("event_type") / F.count("*")).alias("uniq"))
+    s = events(spark, d).groupBy("user_id").agg(n(), F.avg("value").alias("lat"), (F.count_if(F.col("value") > 10) / F.count("*")).alias("ok"), F.least(F.lit(1.0), F.countDistinct("event_type") / F.count("*")).alias("uniq"))
     slow = s.agg(F.max_by("user_id", F.struct(r6("lat"), -F.col("user_id"))).alias("bottleneck"))
     return s.select("user_id", "n", r6(0.7 * F.col("ok") + 0.3 * F.col("uniq")).alias("efficiency")).join(F.broadcast(slow))
 
@@ -90,7 +90,7 @@ def _(spark, d):
 @query("ag15_workflow_rollup", "SELECT round(avg(c), 6) AS mean_steps, CAST(max(c) AS BIGINT) AS most, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, count(*) AS c FROM events GROUP BY user_id)")
 def _(spark, d):
     each = events(spark, d).groupBy("user_id").agg(F.count("*").alias("c"))
-    return each.agg(r6(F.avg("c")).alias("mean_steps"), F.max("c").alias("most"), n)
+    return each.agg(r6(F.avg("c")).alias("mean_steps"), F.max("c").alias("most"), n())
 
 
 @query("ag16_eval_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
@@ -101,7 +101,7 @@ def _(spark, d):
 @query("ag18_group_by_parameter", "SELECT p_size, round(avg(p_retailprice), 4) AS mean, round(stddev_samp(p_retailprice), 4) AS std, round(min(p_retailprice), 4) AS low, round(max(p_retailprice), 4) AS high, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_size")
 def _(spark, d):
     p = F.col("p_retailprice")
-    return part(spark, d).groupBy("p_size").agg(F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("std"), F.round(F.min(p), 4).alias("low"), F.round(F.max(p), 4).alias("high"), n)
+    return part(spark, d).groupBy("p_size").agg(F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("std"), F.round(F.min(p), 4).alias("low"), F.round(F.max(p), 4).alias("high"), n())
 
 
 @query("ag19_best_configuration", "SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
@@ -139,7 +139,7 @@ def _(spark, d):
 
 @query("ag28_label_rollup", "SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS label FROM part) WHERE label <> 'STANDARD' GROUP BY label")
 def _(spark, d):
-    return part(spark, d).select(F.explode(F.split("p_type", " ")).alias("label")).filter("label <> 'STANDARD'").groupBy("label").agg(n)
+    return part(spark, d).select(F.explode(F.split("p_type", " ")).alias("label")).filter("label <> 'STANDARD'").groupBy("label").agg(n())
 
 
 @query("ag29_wide_metrics", "SELECT user_id, round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0), 4) AS click, round(coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0), 4) AS view FROM events GROUP BY user_id")
@@ -217,18 +217,18 @@ def _(spark, d):
 def _(spark, d):
     mentions = lineitem(spark, d).select("l_orderkey", "l_suppkey").distinct()
     a, b = (mentions.withColumnRenamed("l_suppkey", x) for x in ("entity", "co_entity"))
-    return a.join(b, "l_orderkey").filter("entity <> co_entity").groupBy("entity", "co_entity").agg(n)
+    return a.join(b, "l_orderkey").filter("entity <> co_entity").groupBy("entity", "co_entity").agg(n())
 
 
 @query("j3_left_count", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def _(spark, d):
-    counted = orders(spark, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(n)
+    counted = orders(spark, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(n())
     return customer(spark, d).select("c_custkey").join(counted, "c_custkey", "left").fillna(0, ["n"])
 
 
 @query("j5_scalar_count", "SELECT n_nationkey, coalesce((SELECT CAST(count(*) AS BIGINT) FROM customer WHERE c_nationkey = n_nationkey), 0) AS n FROM nation")
 def _(spark, d):
-    counted = customer(spark, d).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(n)
+    counted = customer(spark, d).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(n())
     return nation(spark, d).select("n_nationkey").join(counted, "n_nationkey", "left").fillna(0, ["n"])
 
 

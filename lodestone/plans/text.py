@@ -31,32 +31,36 @@ def chunks(spark, d):
 CHUNKS = f"SELECT doc_id, pos, content, CAST(doc_id AS VARCHAR) || '_L3_' || CAST(pos + 1 AS VARCHAR) AS chunk_id FROM ({SECTIONS}) WHERE length(trim(content)) >= 50"
 
 
-def _over_docs(key, sql, /, **columns):
-    query(key, f"SELECT doc_id, {sql} FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", *[c.alias(k) for k, c in columns.items()]))
-
-
-c = F.col("text")
-_over_docs("tx1_normalize", NORM.format("text") + " AS norm", norm=T.normalize(c))
-_over_docs("tx2_tokenize", f"CAST(len({TOK.format('text')}) AS INT) AS n_tokens", n_tokens=F.size(T.tokenize(c)))
-_over_docs("tx5_numbering_depth", r"CASE WHEN regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1) = '' THEN 0 ELSE CAST(len(string_split(regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1), '.')) AS INT) END AS depth", depth=T.numbering_depth(c))
-_over_docs("tx10_token_estimate", "CAST(length(text) // 4 AS BIGINT) AS est", est=T.token_estimate(c))
-_over_docs("tx13_head_tail", "CASE WHEN length(text) <= 1500 THEN text ELSE left(text, 900) || chr(10) || '... [' || CAST(length(text) - 900 - 525 AS VARCHAR) || ' chars omitted] ...' || chr(10) || right(text, 525) END AS summary", summary=T.head_tail(c, 1500))
-_over_docs("tx14_display_name", "replace('doc_' || source || '_' || lang, '_', ' ') AS name, '18/1997 Sb.' AS law", name=T.display_name(F.concat_ws("_", F.lit("doc"), "source", "lang")), law=T.display_name(F.lit("Sb_1997_18_2017-01-01_IZ")))
-_over_docs("tx15_group_id", r"regexp_replace(regexp_replace(regexp_replace(source || ' / ' || lang || '!', '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS gid", gid=T.group_id(F.concat("source", F.lit(" / "), "lang", F.lit("!"))))
-_over_docs("tx17_acronyms", r"CAST(len(list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,}')))) AS INT) AS n_acronyms", n_acronyms=F.size(T.acronyms(c)))
-_over_docs("tx20_fts_query", r"array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND regexp_full_match(w, '[\p{L}\p{N}]+')), ' | ') AS q", q=T.fts_query(c))
-_over_docs("tx25_hashes", "sha256(text) AS sha, md5(text) AS md5", sha=F.sha2(c, 256), md5=F.md5(c))
-_over_docs("tx28_fallback_title", "CASE WHEN length(trim(text)) > 50 THEN left(trim(text), 47) || '...' ELSE trim(text) END AS title", title=T.fallback_title(c))
-_over_docs("tx30_json_tokens", "greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS est", est=T.json_token_estimate(c))
-_over_docs("tx8_breadcrumb", "'[' || source || ' > ' || lang || ']' || chr(10) || chr(10) || text AS embedding_text", embedding_text=F.concat(F.lit("["), T.breadcrumb(F.col("source"), F.col("lang"), F.col("lang")), F.lit("]\n\n"), c))
-_over_docs("tx22_citations", r"CAST(len(list_distinct(regexp_extract_all('see \cite{' || source || '} and \cite{' || lang || '} \cite{' || lang || '}', '\\cite\{([^}]+)\}', 1))) AS INT) AS n", n=F.size(T.citations(F.concat(F.lit("see \\cite{"), "source", F.lit("} and \\cite{"), "lang", F.lit("} \\cite{"), "lang", F.lit("}")))))
-_over_docs("tx23_answer", r"CASE WHEN doc_id % 2 = 0 THEN trim(source) ELSE trim(lang || ' none') END AS answer", answer=T.answer(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <ANSWER> "), "source", F.lit(" </ANSWER> y"))).otherwise(F.concat("lang", F.lit(" none ")))))
-_over_docs("tx6_list_style", r"CASE WHEN regexp_matches(trim(text), '^\d+\.') THEN 'decimal_dot' WHEN regexp_matches(trim(text), '^\d+\)') THEN 'decimal_paren' WHEN regexp_matches(trim(text), '^[a-z]\)') THEN 'alpha_paren' WHEN regexp_matches(trim(text), '^[ivxlcdm]+\.') THEN 'roman_dot' WHEN regexp_matches(trim(text), '^[•*-]') THEN 'bullet' ELSE 'none' END AS style", style=T.list_style(c))
+def _over_docs(key, sql, columns):
+    """A query of columns that ``columns`` makes of the text."""
+
+    def run(spark, d):
+        return docs(spark, d).select("doc_id", *[x.alias(k) for k, x in columns(F.col("text")).items()])
+
+    query(key, f"SELECT doc_id, {sql} FROM documents")(run)
+
+
+_over_docs("tx1_normalize", NORM.format("text") + " AS norm", lambda c: dict(norm=T.normalize(c)))
+_over_docs("tx2_tokenize", f"CAST(len({TOK.format('text')}) AS INT) AS n_tokens", lambda c: dict(n_tokens=F.size(T.tokenize(c))))
+_over_docs("tx5_numbering_depth", r"CASE WHEN regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1) = '' THEN 0 ELSE CAST(len(string_split(regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1), '.')) AS INT) END AS depth", lambda c: dict(depth=T.numbering_depth(c)))
+_over_docs("tx10_token_estimate", "CAST(length(text) // 4 AS BIGINT) AS est", lambda c: dict(est=T.token_estimate(c)))
+_over_docs("tx13_head_tail", "CASE WHEN length(text) <= 1500 THEN text ELSE left(text, 900) || chr(10) || '... [' || CAST(length(text) - 900 - 525 AS VARCHAR) || ' chars omitted] ...' || chr(10) || right(text, 525) END AS summary", lambda c: dict(summary=T.head_tail(c, 1500)))
+_over_docs("tx14_display_name", "replace('doc_' || source || '_' || lang, '_', ' ') AS name, '18/1997 Sb.' AS law", lambda c: dict(name=T.display_name(F.concat_ws("_", F.lit("doc"), "source", "lang")), law=T.display_name(F.lit("Sb_1997_18_2017-01-01_IZ"))))
+_over_docs("tx15_group_id", r"regexp_replace(regexp_replace(regexp_replace(source || ' / ' || lang || '!', '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS gid", lambda c: dict(gid=T.group_id(F.concat("source", F.lit(" / "), "lang", F.lit("!")))))
+_over_docs("tx17_acronyms", r"CAST(len(list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,}')))) AS INT) AS n_acronyms", lambda c: dict(n_acronyms=F.size(T.acronyms(c))))
+_over_docs("tx20_fts_query", r"array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND regexp_full_match(w, '[\p{L}\p{N}]+')), ' | ') AS q", lambda c: dict(q=T.fts_query(c)))
+_over_docs("tx25_hashes", "sha256(text) AS sha, md5(text) AS md5", lambda c: dict(sha=F.sha2(c, 256), md5=F.md5(c)))
+_over_docs("tx28_fallback_title", "CASE WHEN length(trim(text)) > 50 THEN left(trim(text), 47) || '...' ELSE trim(text) END AS title", lambda c: dict(title=T.fallback_title(c)))
+_over_docs("tx30_json_tokens", "greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS est", lambda c: dict(est=T.json_token_estimate(c)))
+_over_docs("tx8_breadcrumb", "'[' || source || ' > ' || lang || ']' || chr(10) || chr(10) || text AS embedding_text", lambda c: dict(embedding_text=F.concat(F.lit("["), T.breadcrumb(F.col("source"), F.col("lang"), F.col("lang")), F.lit("]\n\n"), c)))
+_over_docs("tx22_citations", r"CAST(len(list_distinct(regexp_extract_all('see \cite{' || source || '} and \cite{' || lang || '} \cite{' || lang || '}', '\\cite\{([^}]+)\}', 1))) AS INT) AS n", lambda c: dict(n=F.size(T.citations(F.concat(F.lit("see \\cite{"), "source", F.lit("} and \\cite{"), "lang", F.lit("} \\cite{"), "lang", F.lit("}"))))))
+_over_docs("tx23_answer", r"CASE WHEN doc_id % 2 = 0 THEN trim(source) ELSE trim(lang || ' none') END AS answer", lambda c: dict(answer=T.answer(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <ANSWER> "), "source", F.lit(" </ANSWER> y"))).otherwise(F.concat("lang", F.lit(" none "))))))
+_over_docs("tx6_list_style", r"CASE WHEN regexp_matches(trim(text), '^\d+\.') THEN 'decimal_dot' WHEN regexp_matches(trim(text), '^\d+\)') THEN 'decimal_paren' WHEN regexp_matches(trim(text), '^[a-z]\)') THEN 'alpha_paren' WHEN regexp_matches(trim(text), '^[ivxlcdm]+\.') THEN 'roman_dot' WHEN regexp_matches(trim(text), '^[•*-]') THEN 'bullet' ELSE 'none' END AS style", lambda c: dict(style=T.list_style(c)))
 
 
 @query("tx12_truncate_word")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", T.truncate_at_word(c, 30).alias("short"))
+    return docs(spark, d).select("doc_id", T.truncate_at_word(F.col("text"), 30).alias("short"))
 
 
 @query("tx16_legal_references", r"SELECT doc_id, array_to_string(regexp_extract_all('zákon č. ' || CAST(doc_id AS VARCHAR) || '/1997 Sb. a ' || CAST(doc_id + 1 AS VARCHAR) || '/2016 Sb.', '\d+/\d{4} Sb\.'), ';') AS refs FROM documents")
