@@ -49,7 +49,7 @@ SHARE = (0.355, 1.1)  #: segments of large groups, as a share of the largest siz
 SMALL_GROUP = 48  #: largest size of the groups that index one-deletion neighbourhoods
 LEAST_BITS = 256
 TABLE = K.byte_table(0x5EED, lower=True)
-FLUSH_DOCS, FLUSH_SIGS = 1 << 14, 1 << 21
+FLUSH_DOCS, FLUSH_SIGS = 1 << 14, 1 << 20
 U64 = np.uint64
 
 
@@ -204,17 +204,21 @@ def _packed(names: np.ndarray, slack: np.ndarray, value: np.ndarray, owner: np.n
         yield int(p), b"".join([head, names[docs].tobytes(), slack[docs].tobytes(), gaps.astype(kind).tobytes(), (index << 1 | (r & 1)).astype(np.uint16).tobytes()])
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, names, 0 or 1 for the own group or the next, slack there."""
+def _values(blob: bytes) -> np.ndarray:
+    """The signatures of a blob."""
+    docs, n, width = np.frombuffer(blob, np.uint32, 3).tolist()
+    at = 12 + 12 * docs
+    return np.cumsum(np.frombuffer(blob[at : at + width * n], np.uint32 if width == 4 else np.uint64), dtype=U64)
+
+
+def _members(blob: bytes, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the chosen signatures: names, 0 or 1 for the own group or the next, slack there."""
     docs, n, width = np.frombuffer(blob, np.uint32, 3).tolist()
     names = np.frombuffer(blob[12 : 12 + 8 * docs], np.int64)
-    at = 12 + 8 * docs
-    slack = np.frombuffer(blob, np.int16, 2 * docs, at).reshape(-1, 2)
-    at += 4 * docs
-    gaps = np.frombuffer(blob[at : at + width * n], np.uint32 if width == 4 else np.uint64)
-    ref = np.frombuffer(blob, np.uint16, n, at + width * n)
+    slack = np.frombuffer(blob, np.int16, 2 * docs, 12 + 8 * docs).reshape(-1, 2)
+    ref = np.frombuffer(blob, np.uint16, n, 12 + 12 * docs + width * n)[keep]
     upper = (ref & 1).astype(np.int8)
-    return np.cumsum(gaps, dtype=U64), names[ref >> 1], upper, slack[ref >> 1, upper]
+    return names[ref >> 1], upper, slack[ref >> 1, upper]
 
 
 def index(parts: int):
@@ -264,18 +268,22 @@ def index(parts: int):
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition's signatures: candidate pairs (sig null), and hot signatures' members (b null)."""
-    got = [_unpacked(x.as_py()) for batch in batches for x in batch.column(1)]
-    if not got:
+    held = [x.as_py() for batch in batches for x in batch.column(1)]
+    if not held:
         return
+    # Most signatures stand alone; only the others get names.
+    every = np.concatenate([_values(x) for x in held])
+    every.sort()
+    again = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    got = []
+    for i, blob in enumerate(held):
+        own = _values(blob)
+        keep = np.flatnonzero(again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own) if len(again) else np.zeros(0, np.int64)
+        got.append((own[keep], *_members(blob, keep)))
+        held[i] = b""
     value, name, upper, slack = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    order = np.argsort(value, kind="stable")
-    value = value[order]
-    same = value[1:] == value[:-1]
-    keep = np.zeros(len(value), dtype=bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    value, name, upper, slack = value[keep], name[order][keep], upper[order][keep], slack[order][keep]
+    del got, held
     order = np.lexsort((name, value))
     value, name, upper, slack = value[order], name[order], upper[order], slack[order]
     if not len(value):
@@ -417,7 +425,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = texts.mapInArrow(describe, "doc_id long, n_shingles long, class long, sketch binary").checkpoint()
     classes = described.filter("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")).checkpoint()
