@@ -19,7 +19,7 @@ A set whose segments don't reach H+1 in total is signed again with the next seed
 sides sign with every seed up to the first at which either reaches it.
 
 Hot signatures, which more than ``SMALL`` sets share, would give all pairs of a group. They give
-only pairs with the smallest member. Beyond that a set may skip (threshold -1) as many signatures
+only pairs with the smallest member, then with the member of most hot signatures. Beyond that a set may skip (threshold -1) as many signatures
 as its segments cost above H, its hottest first, since each partner shares more. For sets of
 different components that share a hot signature that neither could skip, blocks of about ``BLOCK``
 members are compared block by block on parity sketches, so the rest is exact, and bounded in memory.
@@ -338,7 +338,11 @@ def near_by_sketch(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 
 
 def blocks(table: pa.Table) -> pa.Table:
-    """Pairs of different components within a pair of blocks that the sketches don't rule out."""
+    """Pairs of different components within a pair of blocks that the sketches don't rule out.
+
+    A pair that shares several signatures is given by the first of them only, by their hashes.
+    """
+    mine, theirs = table["key"][0].as_py(), [np.array(x, dtype=np.int32) for x in table["keys"].to_pylist()]
     held = table["sketch"].to_pylist()
     sketch = _folded(held, min(map(len, held)))
     name, size, comp, block = (table[c].to_numpy() for c in ("class", "n_shingles", "component", "block"))
@@ -349,6 +353,9 @@ def blocks(table: pa.Table) -> pa.Table:
         i = one[k : k + step, None]
         fits = near_by_sketch(sketch[i], sketch[two][None], size[i], size[two][None])
         row, col = np.nonzero(fits & (comp[i] != comp[two][None]) & (name[i] != name[two][None]))
+        once = [np.intersect1d(theirs[u], theirs[v], assume_unique=True)[0] == mine for u, v in zip(one[k + row], two[col], strict=True)]
+        once = np.array(once, dtype=bool)
+        row, col = row[once], col[once]
         x, y = name[one[k + row]], name[two[col]]
         out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0)
@@ -434,6 +441,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
     groups_ = connected_components(links)
     hot = met.filter("sig is not null").select("sig", F.col("a").alias("class"), "upper", "slack")
+    links = links.union(_hub_links(hot, groups_, classes, texts))
+    groups_ = connected_components(links)
     more = _unsure_links(hot, groups_, classes, texts)
     if more is not None:
         groups_ = connected_components(links.union(more))
@@ -456,6 +465,21 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return named.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
+def _hub_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of each hot signature's members with the one that has most hot signatures.
+
+    Near copies of one text may link with it and not with each other; it shares most with the
+    others. A pair for each member and signature at most, and none within a component.
+    """
+    shared = hot.groupBy("class").agg(F.count("*").alias("n"))
+    placed = hot.select("sig", "class").distinct().join(shared, "class").join(components.withColumnRenamed("node", "class"), "class", "left")
+    placed = placed.select("sig", "class", "n", F.coalesce("component", "class").alias("component")).checkpoint()
+    hubs = placed.groupBy("sig").agg(F.max(F.struct("n", "class", "component")).alias("hub"))
+    pairs = placed.join(hubs, "sig").filter(F.col("component") != F.col("hub.component"))
+    pairs = pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+    return _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
+
+
 def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between sets that hot signatures leave unsure; None if there are none to look at."""
     hotness = hot.groupBy("sig").agg(F.count("*").alias("n"))
@@ -471,9 +495,10 @@ def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, tex
     mixed = mixed.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")).checkpoint()
     if mixed.isEmpty():
         return None
+    keys = rest.join(mixed, "sig", "left_semi").groupBy("class").agg(F.array_sort(F.collect_set(F.hash("sig"))).alias("keys"))
     dealt = rest.join(mixed, "sig").withColumn("own", F.pmod(F.xxhash64("class"), "n_blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.join(classes.select("class", "n_shingles", "sketch"), "class")
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "sketch", "component", F.col("own").alias("block"))
+    dealt = dealt.join(classes.select("class", "n_shingles", "sketch").join(keys, "class"), "class")
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "sketch", "component", F.col("own").alias("block"), F.hash("sig").alias("key"), "keys")
     found = dealt.groupBy("sig", "i", "j").applyInArrow(blocks, "a long, b long").distinct().checkpoint()
     return _links(found, texts, classes)
