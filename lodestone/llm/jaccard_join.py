@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,7 +44,7 @@ from . import textkernel as K
 from .components import checkpoint_dir, connected_components
 
 WIDTH, NUM, DEN = 5, 75, 100  #: words in a shingle; similarity NUM / DEN
-SMALL, BLOCK, SEEDS = 16, 512, 24
+SMALL, BLOCK, SEEDS = 16, 2048, 24
 FEW_IDS = 1 << 20  #: ids of candidates that are sent out whole
 SHARE = (0.355, 1.1)  #: segments of large groups, as a share of the largest size: constant, and by the root of the size
 SMALL_GROUP = 48  #: largest size of the groups that index one-deletion neighbourhoods
@@ -337,29 +338,51 @@ def near_by_sketch(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
     return apart * (DEN + NUM) <= (n_left + n_right) * (DEN - NUM)
 
 
+def _share_key(lists: pa.ChunkedArray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether the lists of rows ``u`` and ``v`` have a key in common; keys are taken some thousand at a time."""
+    lists = lists.combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    keys, index, times = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True, return_counts=True)
+    common = np.cumsum(times > 1) - 1
+    both = times[index] > 1
+    owner, index = owner[both], common[index[both]]
+    out = np.zeros(len(u), dtype=bool)
+    for k in range(0, int((times > 1).sum()), 4096):
+        here = (index >= k) & (index < k + 4096)
+        has = np.zeros((len(lists), 4096), dtype=bool)
+        has[owner[here], index[here] - k] = True
+        bits = np.packbits(has, axis=1).view(U64)
+        for i in range(0, len(u), 1 << 14):
+            out[i : i + (1 << 14)] |= (bits[u[i : i + (1 << 14)]] & bits[v[i : i + (1 << 14)]]).any(axis=1)
+    return out
+
+
 def blocks(table: pa.Table) -> pa.Table:
     """Pairs of different components within a pair of blocks that the sketches don't rule out.
 
-    A pair that shares several signatures is given by the first of them only, by their hashes.
+    A pair that shares several signatures is given by the smallest of them only: ``keys`` are each
+    member's signatures below this one.
     """
-    mine, theirs = table["key"][0].as_py(), [np.array(x, dtype=np.int32) for x in table["keys"].to_pylist()]
     held = table["sketch"].to_pylist()
     sketch = _folded(held, min(map(len, held)))
     name, size, comp, block = (table[c].to_numpy() for c in ("class", "n_shingles", "component", "block"))
     one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    out = [np.zeros((0, 2), np.int64)]
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, (1 << 20) // max(1, len(two) * sketch.shape[1]))
     for k in range(0, len(one), step):
-        i = one[k : k + step, None]
-        fits = near_by_sketch(sketch[i], sketch[two][None], size[i], size[two][None])
-        row, col = np.nonzero(fits & (comp[i] != comp[two][None]) & (name[i] != name[two][None]))
-        once = [np.intersect1d(theirs[u], theirs[v], assume_unique=True)[0] == mine for u, v in zip(one[k + row], two[col], strict=True)]
-        once = np.array(once, dtype=bool)
-        row, col = row[once], col[once]
-        x, y = name[one[k + row]], name[two[col]]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        i = one[k : k + step]
+        row, col = np.nonzero(comp[i][:, None] != comp[two][None])
+        row, col = i[row], two[col]
+        row, col = np.minimum(row, col), np.maximum(row, col)
+        fits = near_by_sketch(sketch[row], sketch[col], size[row], size[col])
+        rows.append(row[fits])
+        cols.append(col[fits])
+    # Within one block each pair came up twice.
+    pair = np.unique(np.concatenate(rows) * len(name) + np.concatenate(cols))
+    row, col = pair // len(name), pair % len(name)
+    once = ~_share_key(table["keys"], row, col)
+    x, y = name[row[once]], name[col[once]]
+    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
 def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,10 +518,12 @@ def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, tex
     mixed = mixed.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")).checkpoint()
     if mixed.isEmpty():
         return None
-    keys = rest.join(mixed, "sig", "left_semi").groupBy("class").agg(F.array_sort(F.collect_set(F.hash("sig"))).alias("keys"))
-    dealt = rest.join(mixed, "sig").withColumn("own", F.pmod(F.xxhash64("class"), "n_blocks").cast("int"))
+    chosen = rest.join(mixed, "sig").groupBy("class", "component").agg(F.array_sort(F.collect_set(F.struct("sig", "n_blocks"))).alias("sigs"))
+    dealt = chosen.join(classes.select("class", "n_shingles", "sketch"), "class").withColumn("one", F.explode("sigs"))
+    keys = F.transform(F.filter("sigs", lambda s: s["sig"] < F.col("one.sig")), lambda s: s["sig"])
+    dealt = dealt.select("one.sig", "one.n_blocks", "class", "n_shingles", "sketch", "component", keys.alias("keys"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), "n_blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.join(classes.select("class", "n_shingles", "sketch").join(keys, "class"), "class")
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "sketch", "component", F.col("own").alias("block"), F.hash("sig").alias("key"), "keys")
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "sketch", "component", F.col("own").alias("block"), "keys")
     found = dealt.groupBy("sig", "i", "j").applyInArrow(blocks, "a long, b long").distinct().checkpoint()
     return _links(found, texts, classes)
