@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS = 1 << 18  #: edges in a partition
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's checkpoint folder; set one only where none is named, as in tests."""
@@ -14,17 +15,30 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or "/tmp/lodestone-checkpoints")
 
 
+def _parts(rows: int) -> int:
+    return -(-rows // ROWS) or 1
+
+
+def _fingerprint(edges: DataFrame) -> tuple[int, tuple]:
+    """Number of edges, and sums that tell two sets of them apart."""
+    n, *sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+    return n, tuple(sums)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Each round links every node's larger neighbours to its smallest one (large star), then its
     smaller neighbours to the smallest (small star). Both are one aggregate and one explode-free
     join on the node, so a hub with many neighbours is a skewed join side and never one row.
-    Self-loops, repeated edges and either direction are allowed; no edges give no rows.
+    Self-loops, repeated edges and either direction are allowed; no edges give no rows. Edges are
+    kept in as many partitions as their counted rows need, not in one for each shuffle partition.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct().checkpoint()
+    rows, names = _fingerprint(now)
+    now = now.coalesce(_parts(rows))
     nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
 
     def star(pairs: DataFrame) -> DataFrame:
@@ -39,11 +53,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         down = large.select(F.col("v").alias("x"), F.col("u").alias("y"))
         linked = star(down)
         small = linked.select(F.col("m").alias("u"), F.col("y").alias("v")).union(linked.select("m", "x"))
-        after = small.filter("u < v").distinct().checkpoint()
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now = small.filter("u < v").distinct().coalesce(_parts(rows)).checkpoint()
+        before, (rows, names) = (rows, names), _fingerprint(now)
+        if before == (rows, names):
             break
-        now = after
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component")).coalesce(_parts(rows)).checkpoint()
+
+
+def merged(components: DataFrame | None, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``components`` after more ``links``: only links between different components are contracted."""
+    if components is None:
+        return connected_components(links, a, b)
+    of = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    lifted = links.join(of(a), a, "left").join(of(b), b, "left").select(F.coalesce(f"c_{a}", a).alias("a"), F.coalesce(f"c_{b}", b).alias("b"))
+    lifted = lifted.filter("a <> b").distinct().checkpoint()
+    if lifted.isEmpty():
+        return components
+    top = connected_components(lifted)
+    old = components.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    new = top.join(components, "node", "left_anti").select("node", "component")
+    return old.select("node", F.coalesce("top", "component").alias("component")).union(new).checkpoint()

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textkernel as K
-from .components import checkpoint_dir, connected_components
+from .components import checkpoint_dir, merged
 
 WIDTH, NUM, DEN = 5, 75, 100  #: words in a shingle; similarity NUM / DEN
 SMALL, BLOCK, SEEDS = 16, 2048, 24
@@ -424,20 +424,21 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("a", "b", "t_a", "t_b").mapInArrow(linked, "a long, b long").checkpoint()
 
 
-def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links among ``pairs`` that give their components.
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """``components`` after the links among ``pairs``.
 
     First one pair of each set is verified, that with its smallest partner; then only pairs that
     are not yet in one component. Other pairs can't change the components.
     """
+    if components is not None and pairs.isEmpty():
+        return components
     known = _texts(pairs, texts, classes)
-    forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(forest, known)
-    groups_ = connected_components(links)
-    of = lambda x: groups_.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
+    components = merged(components, _verified(forest, known))
+    of = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     rest = pairs.join(forest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    return links.union(_verified(rest, known))
+    return merged(components, _verified(rest, known))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -461,14 +462,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = described.filter("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")).checkpoint()
     met = texts.mapInArrow(index(parts), "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "a long, b long, sig long, upper byte, slack short").checkpoint()
     pairs = met.filter("b is not null").select("a", "b").distinct()
-    links = _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
-    groups_ = connected_components(links)
+    groups_ = _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
     hot = met.filter("sig is not null").select("sig", F.col("a").alias("class"), "upper", "slack")
-    links = links.union(_hub_links(hot, groups_, classes, texts))
-    groups_ = connected_components(links)
-    more = _unsure_links(hot, groups_, classes, texts)
-    if more is not None:
-        groups_ = connected_components(links.union(more))
+    groups_ = _hub_links(hot, groups_, classes, texts)
+    groups_ = _unsure_links(hot, groups_, classes, texts)
     named = classes.select("class", "doc_id").join(groups_.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -489,7 +486,7 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _hub_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of each hot signature's members with the one that has most hot signatures.
+    """``components`` after the links of each hot signature's members with the one that has most hot signatures.
 
     Near copies of one text may link with it and not with each other; it shares most with the
     others. A pair for each member and signature at most, and none within a component.
@@ -500,11 +497,11 @@ def _hub_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts:
     hubs = placed.groupBy("sig").agg(F.max(F.struct("n", "class", "component")).alias("hub"))
     pairs = placed.join(hubs, "sig").filter(F.col("component") != F.col("hub.component"))
     pairs = pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
-    return _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
+    return _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes, components)
 
 
-def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links between sets that hot signatures leave unsure; None if there are none to look at."""
+def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``components`` after the links between sets that hot signatures leave unsure."""
     hotness = hot.groupBy("sig").agg(F.count("*").alias("n"))
     sized = hot.join(hotness, "sig").join(classes.select("class", "n_shingles"), "class")
     # A partner shares signatures worth the slack. If both drop less than that, the hottest first,
@@ -517,7 +514,7 @@ def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, tex
     mixed = rest.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     mixed = mixed.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")).checkpoint()
     if mixed.isEmpty():
-        return None
+        return components
     chosen = rest.join(mixed, "sig").groupBy("class", "component").agg(F.array_sort(F.collect_set(F.struct("sig", "n_blocks"))).alias("sigs"))
     dealt = chosen.join(classes.select("class", "n_shingles", "sketch"), "class").withColumn("one", F.explode("sigs"))
     keys = F.transform(F.filter("sigs", lambda s: s["sig"] < F.col("one.sig")), lambda s: s["sig"])
@@ -526,4 +523,4 @@ def _unsure_links(hot: DataFrame, components: DataFrame, classes: DataFrame, tex
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "sketch", "component", F.col("own").alias("block"), "keys")
     found = dealt.groupBy("sig", "i", "j").applyInArrow(blocks, "a long, b long").distinct().checkpoint()
-    return _links(found, texts, classes)
+    return _links(found, texts, classes, components)
