@@ -98,8 +98,8 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     ``found`` has ``text`` and ``spans`` of the rows with base matches. A context is a line; equal
     lines with the same entity count once, so copies and repeated notices add nothing. A term is
     revealing if it meets the entity in at least ``MIN_CONTEXTS`` contexts and at least
-    ``DISCLOSURE`` of all lines of the corpus that have the term hold the entity: its pointwise
-    information about the entity is then within one bit of all there is.
+    ``DISCLOSURE`` of all different lines of the corpus that have the term hold the entity: its
+    pointwise information about the entity is then within one bit of all there is.
     """
     values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
     lines = found.select(values.alias("values"), F.explode(F.split("text", "\n")).alias("line"))
@@ -110,7 +110,8 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     enough = contexts.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS).select("entity")
     pairs = contexts.join(enough, "entity").select("entity", F.explode(_line_terms(F.col("line"))).alias("term"))
     pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= MIN_CONTEXTS)
-    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_line_terms(F.col("line"))).alias("term"))
+    # Lines count here as they do among the contexts: equal ones once.
+    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.explode(_line_terms(F.col("line"))).alias("term"))
     names = words.groupBy(F.xxhash64("term").alias("key")).agg(F.count("*").alias("lines"))
     both = pairs.withColumn("key", F.xxhash64("term")).join(names, "key")
     return both.filter(F.col("together") >= DISCLOSURE * F.col("lines")).select("term", "entity").distinct()
@@ -132,8 +133,11 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     given = terms.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     own = found.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity"))
     own = own.join(given, "entity").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "terms"))).alias("given"))
-    joined = rows.withColumn("row", F.xxhash64("doc_id", "text")).join(own, "row", "left")
-    return joined.select("doc_id", "text", F.concat("spans", F.when(F.col("given").isNotNull(), term_spans(F.col("text"), F.col("spans"), F.col("given"))).otherwise(F.array().cast(SPANS))).alias("spans"))
+    # Rows without base matches have no terms; only the others are shuffled.
+    clear = rows.filter(F.size("spans") == 0)
+    joined = found.withColumn("row", F.xxhash64("doc_id", "text")).join(own, "row", "left")
+    tagged = joined.select("doc_id", "text", F.concat("spans", F.when(F.col("given").isNotNull(), term_spans(F.col("text"), F.col("spans"), F.col("given"))).otherwise(F.array().cast(SPANS))).alias("spans"))
+    return clear.unionByName(tagged)
 
 
 def term_spans(text: Column, spans: Column, given: Column) -> Column:

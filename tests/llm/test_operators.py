@@ -158,6 +158,18 @@ def test_revealing_terms(spark):
     assert clean[0] == "line 0 by  at [email] today"
 
 
+def test_revealing_terms_of_copies(spark):
+    """Copied documents and lines that many documents repeat leave a term's share as it is."""
+    own = [(i, f"line {i} by Zebediah at zeb@host.org today", "a") for i in range(3)]
+    other = [(10 + i, f"line {i} today by someone at work {i}", "a") for i in range(20)]
+    copies = [(100 + 10 * i + c, text, "a") for i, text, _ in own for c in range(9)]
+    notices = [(200 + c, f"other {c}\n" + own[0][1], "a") for c in range(5)]
+    found = pii.find_pii(frame(spark, own + other + copies + notices)).collect()
+    terms = {r.doc_id: {r.text[s.start : s.end] for s in r.spans if s.kind == "term"} for r in found}
+    assert len(found) == len(terms) == 3 + 20 + 27 + 5
+    assert all(t == (set() if 10 <= i < 100 else {"Zebediah"}) for i, t in terms.items())
+
+
 def test_html():
     page = "<html><head><title>t</title><script>if (a<b) x('</p>')</script></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use <b>cookies</b></div><article><h1>Title &amp; more</h1><p>First  <b>bold</b>er\n text.<p>Second<br>line.</article><div id=comments><p>Nice read</p></div><footer>&copy;</footer></body></html>"
     weight = html_text.weights([])
