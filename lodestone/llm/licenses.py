@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +39,9 @@ TRIGGER = re.compile(r"licen[sc]e|copyright|permission is hereby|redistribut|fre
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 MOST_DIFFERENT = 0.2  #: differing words of a confirmed notice, as a share of the template's
 FIRST = 3  #: templates of largest reduction whose wording is compared; more if they tie
+SPAN = int((1 + MOST_DIFFERENT) * max(len(WORD.findall(t.lower())) for x in TEMPLATES.values() for t in x)) + 1  #: words that the longest notice can have
+WIDTHS = (8, 16, 32, SPAN)  #: words on either side of a licensing word
+PLAIN = 4000  #: characters; a longer block is compressed by its words alone and not remembered
 
 
 @lru_cache(maxsize=1)
@@ -56,7 +61,8 @@ def plain() -> zstandard.ZstdCompressor:
 
 def reductions(block: str) -> list[tuple[int, str, str]]:
     """(bytes that the template saves, license, template), the largest first."""
-    data = block.lower().encode("utf-8", "replace")
+    block = block.lower() if len(block) <= PLAIN else " ".join(w[:64] for w in WORD.findall(block.lower()))
+    data = block.encode("utf-8", "replace")
     alone = len(plain().compress(data))
     found = [(alone - len(c.compress(data)), name, text) for name, text, c in compressors()]
     return sorted(found, key=lambda x: (-x[0], x[1], x[2]))
@@ -70,15 +76,23 @@ def differences(block: str, template: str) -> tuple[int, int, int]:
     equal = [s for s in steps if s[0] == "equal"]
     if not equal:
         return 0, 0, len(wanted)
-    first, last = equal[0], equal[-1]
-    inner = [s for s in steps if s[0] != "equal" and s[1] >= first[1] and s[2] <= last[2]]
-    apart = sum(max(s[2] - s[1], s[4] - s[3]) for s in inner) + sum(s[4] - s[3] for s in steps if s[0] != "equal" and s not in inner)
-    return own[first[1]][1], own[last[2] - 1][2], apart
+    # Of all runs of equal stretches the one with the fewest differing words: a word of the
+    # template that occurs far off, too, takes nothing in.
+    best = None
+    for k, first in enumerate(equal):
+        inner = 0
+        for n, last in enumerate(equal[k:], k):
+            if n > k:
+                inner += max(last[1] - equal[n - 1][2], last[3] - equal[n - 1][4])
+            key = first[3] + inner + len(wanted) - last[4], first[1] - last[2]
+            if best is None or key < best[0]:
+                best = key, first[1], last[2] - 1
+    (apart, _), a, b = best
+    return own[a][1], own[b][2], apart
 
 
-@lru_cache(maxsize=100_000)
-def identify(block: str) -> tuple[str, int, int, int] | None:
-    """License, start, end, differing words of a block's notice; None if no template's wording is close."""
+def closest(block: str) -> tuple[str, int, int, int, int] | None:
+    """License, start, end, differing and equal words of a block's notice that has the most equal words; None if no template's wording is close."""
     ranked = reductions(block)
     floor = ranked[min(FIRST, len(ranked)) - 1][0]
     best = None
@@ -86,35 +100,52 @@ def identify(block: str) -> tuple[str, int, int, int] | None:
         if saved < floor or saved <= 0:
             break
         start, end, apart = differences(block, template)
-        if apart <= MOST_DIFFERENT * len(WORD.findall(template.lower())):
-            key = (apart, -len(template), name)
+        words = len(WORD.findall(template.lower()))
+        if apart <= MOST_DIFFERENT * words:
+            key = (apart - words, apart, name)
             if best is None or key < best[0]:
-                best = key, (name, start, end, apart)
+                best = key, (name, start, end, apart, words - apart)
     return best and best[1]
 
 
+remembered = lru_cache(maxsize=100_000)(closest)
+
+
+def identify(block: str) -> tuple[str, int, int, int, int] | None:
+    return remembered(block) if len(block) <= PLAIN else closest(block)
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, int]]:
     """(license, start, end, differing words) of every notice in a text, in code points.
 
-    Candidate blocks are sentences or line parts with a licensing word; what no template explains
-    is tried again with its neighbours, as notices go on over lines.
+    Around each licensing word after the last notice, blocks of sentences or line parts and windows
+    of words are tried, up to the longest notice on either side. The notice with the most equal
+    words is kept.
     """
     if not text or not TRIGGER.search(text):
         return []
     parts = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\n|$))", text)]
-    marked = [i for i, (a, b) in enumerate(parts) if TRIGGER.search(text, a, b)]
-    found, done = [], -1
-    for i in marked:
-        if parts[i][0] < done:
+    begins = [a for a, _ in parts]
+    starts, ends = array("q"), array("q")
+    for m in re.finditer(WORD.pattern, text, re.I):
+        starts.append(m.start())
+        ends.append(m.end())
+    found: list[tuple[int, int, str, int]] = []  # by start, without overlap
+    for m in TRIGGER.finditer(text):
+        at, i, w = m.start(), bisect_right(begins, m.start()) - 1, bisect_right(starts, m.start()) - 1
+        words = [(starts[max(w - n, 0)], ends[min(w + n, len(ends) - 1)]) for n in WIDTHS]
+        widest = words[-1]
+        blocks = [(parts[i][0], parts[min(i + n, len(parts)) - 1][1]) for n in (1, 3, 6)] + words
+        low, best = found[-1][1] if found else 0, None
+        if at < low:
             continue
-        for more in (1, 3, 6):
-            a, b = parts[i][0], parts[min(i + more, len(parts)) - 1][1]
-            got = identify(text[a:b]) if b - a <= 4000 else None
-            if got:
-                found.append((got[0], a + got[1], a + got[2], got[3]))
-                done = a + got[2]
-                break
-    return found
+        for a, b in dict.fromkeys((max(a, low, widest[0]), min(b, widest[1])) for a, b in blocks):
+            got = identify(text[a:b]) if a < b else None
+            if got and (best is None or (-got[4], got[3]) < best[0]):
+                best = (-got[4], got[3]), (a + got[1], a + got[2], got[0], got[3])
+        if best is not None:
+            found.append(best[1])
+    return [(name, a, b, apart) for a, b, name, apart in found]
 
 
 def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,9 +153,9 @@ def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     ``licenses`` are the distinct identifiers in order, ``notices`` are ``license:start:end:differing
     words``, both joined by commas. Templates are tried by how many bytes each saves as a raw zstd
-    dictionary; the wording decides. A stretch over 4000 characters without a line end or full stop
-    holds no notice. Null and empty texts have none; equal texts have equal notices; an empty table
-    gives no rows; extra columns are ignored.
+    dictionary; the wording decides. Texts are scanned whole, however long their lines and however
+    short the lines of a notice. Null and empty texts have none; equal texts have equal notices; an
+    empty table gives no rows; extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 

@@ -196,6 +196,21 @@ def test_licenses():
     assert licenses.scan("A license to kill is no notice.") == licenses.scan(None) == licenses.scan("") == []
 
 
+def test_licenses_in_long_lines_and_short_ones():
+    import textwrap
+
+    mit = licenses.TEMPLATES["MIT"][2]
+    for notice in (mit, "Released under the MIT License"):
+        long = "cell " * 3000 + notice + " cell" * 3000
+        assert [(x[0], x[3]) for x in licenses.scan(long)] == [("MIT", 0)]
+        assert long[slice(*licenses.scan(long)[0][1:3])] == notice
+    for name, text in (("MIT", mit), ("GPL-3.0", licenses.TEMPLATES["GPL-3.0"][1]), ("Apache-2.0", licenses.TEMPLATES["Apache-2.0"][1]), ("CC-BY-4.0", licenses.TEMPLATES["CC-BY-4.0"][1])):
+        for columns in (1, 10, 25, 40, 45, 70):
+            lines = "\n".join(textwrap.wrap(text, columns, break_long_words=False, break_on_hyphens=False))
+            assert [(x[0], x[3]) for x in licenses.scan(f"Some prose.\n{lines}\nMore of it.")] == [(name, 0)], (name, columns)
+    assert [x[0] for x in licenses.scan("-" * 300_000 + " All rights reserved " + "-" * 300_000)] == ["Proprietary"]
+
+
 def test_quality_ranking(spark):
     good = [(i, f"This is text number {i}. It says something of its own, {i * 7} times.", "a") for i in range(200)]
     bad = [(1000 + i, f"BUY!! {i}$$$ NOW!! ### | | |", "a") for i in range(200)]
