@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -118,9 +118,10 @@ def identify(block: str) -> tuple[str, int, int, int, int] | None:
 def scan(text: str | None) -> list[tuple[str, int, int, int]]:
     """(license, start, end, differing words) of every notice in a text, in code points.
 
-    Around each licensing word after the last notice, blocks of sentences or line parts and windows
-    of words are tried, up to the longest notice on either side. The notice with the most equal
-    words is kept.
+    Around each licensing word that no notice holds yet, blocks of sentences or line parts and
+    windows of words are tried, up to the longest notice on either side and up to the notices
+    found before. The notice with the most equal words is kept, and what is left around the word
+    is tried again until no template matches.
     """
     if not text or not TRIGGER.search(text):
         return []
@@ -136,15 +137,19 @@ def scan(text: str | None) -> list[tuple[str, int, int, int]]:
         words = [(starts[max(w - n, 0)], ends[min(w + n, len(ends) - 1)]) for n in WIDTHS]
         widest = words[-1]
         blocks = [(parts[i][0], parts[min(i + n, len(parts)) - 1][1]) for n in (1, 3, 6)] + words
-        low, best = found[-1][1] if found else 0, None
-        if at < low:
-            continue
-        for a, b in dict.fromkeys((max(a, low, widest[0]), min(b, widest[1])) for a, b in blocks):
-            got = identify(text[a:b]) if a < b else None
-            if got and (best is None or (-got[4], got[3]) < best[0]):
-                best = (-got[4], got[3]), (a + got[1], a + got[2], got[0], got[3])
-        if best is not None:
-            found.append(best[1])
+        while True:
+            n = bisect_right(found, at, key=lambda x: x[0])
+            low, high = found[n - 1][1] if n else 0, found[n][0] if n < len(found) else len(text)
+            if at < low:
+                break
+            best = None
+            for a, b in dict.fromkeys((max(a, low, widest[0]), min(b, high, widest[1])) for a, b in blocks):
+                got = identify(text[a:b]) if a < b else None
+                if got and (best is None or (-got[4], got[3]) < best[0]):
+                    best = (-got[4], got[3]), (a + got[1], a + got[2], got[0], got[3])
+            if best is None:
+                break
+            found.insert(bisect_left(found, best[1]), best[1])
     return [(name, a, b, apart) for a, b, name, apart in found]
 
 

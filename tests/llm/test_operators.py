@@ -211,6 +211,17 @@ def test_licenses_in_long_lines_and_short_ones():
     assert [x[0] for x in licenses.scan("-" * 300_000 + " All rights reserved " + "-" * 300_000)] == ["Proprietary"]
 
 
+def test_licenses_side_by_side():
+    names = lambda text: [x[0] for x in licenses.scan(text)]
+    assert names("Copyright 2020 Acme. All rights reserved. Released under the MIT License.") == ["Proprietary", "MIT"]
+    assert names("Licensed under the MIT License and licensed under CC BY 4.0, all rights reserved") == ["MIT", "CC-BY-4.0", "Proprietary"]
+    assert names("Released under the MIT License. " * 3) == ["MIT"] * 3
+    text = "Licensed under CC BY-SA 4.0. " + licenses.TEMPLATES["MIT"][2] + ". " + licenses.TEMPLATES["Apache-2.0"][1]
+    found = licenses.scan(text)
+    assert [(x[0], x[3]) for x in found] == [("CC-BY-SA-4.0", 0), ("MIT", 0), ("Apache-2.0", 0)]
+    assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_quality_ranking(spark):
     good = [(i, f"This is text number {i}. It says something of its own, {i * 7} times.", "a") for i in range(200)]
     bad = [(1000 + i, f"BUY!! {i}$$$ NOW!! ### | | |", "a") for i in range(200)]
