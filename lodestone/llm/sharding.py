@@ -31,14 +31,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc
     Size is the UTF-8 length plus 1, null texts count as empty. Repeated rows all get a slot; rows
     without a ``doc_id`` share one shard. An empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(docs.sparkSession)
+    return _dealt(docs.withColumn("__place", F.monotonically_increasing_id()), shards, seed, doc_id, text)
+
+
+def _dealt(placed: DataFrame, shards: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``shard_documents`` of rows that have their number in ``__place``."""
+    spark = placed.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
-    records = docs.select(
+    records = placed.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(whole) + 1).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("place"),
+        F.col("__place").alias("place"),
         rendezvous(F.col(doc_id), shards, seed).alias("shard"),
         rendezvous(F.col(doc_id), shards + 1, seed).alias("grown_shard"),
     ).checkpoint()
@@ -66,9 +71,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 
 
 def with_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``, every row matched by its place in a written copy."""
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
-    fixed = docs.drop("shard", "slot").withColumn("__place", F.monotonically_increasing_id())
-    slots = shard_documents(docs, shards, seed).select(F.col("place").alias("__place"), "shard", "slot")
+    """``docs`` with ``shard`` and ``slot``, every row matched by its place in a written copy.
+
+    The rows are numbered once and checkpointed whole; places and slots come from that copy alone,
+    so a scan that is planned or run again can't number them otherwise.
+    """
+    checkpoint_dir(docs.sparkSession)
+    fixed = docs.drop("shard", "slot").withColumn("__place", F.monotonically_increasing_id()).checkpoint()
+    slots = _dealt(fixed, shards, seed).select(F.col("place").alias("__place"), "shard", "slot")
     return fixed.join(slots, "__place").drop("__place")

@@ -98,6 +98,22 @@ def test_sharding(docs):
     assert {(r.doc_id, r.shard) for r in whole.collect()} == {(r.doc_id, r.shard) for r in rows}
 
 
+def test_shards_when_scans_are_split_otherwise(spark, tmp_path):
+    """The second scan of the rows is planned with smaller splits than the first, as when executors join."""
+    path = str(tmp_path / "docs")
+    frame(spark, [(i, f"{i} " + PROSE, "a") for i in range(400)]).repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        whole = sharding.with_shards(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows = whole.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.doc_id for r in rows) == list(range(400))
+    assert {(r.doc_id, r.shard) for r in rows} == {(r.doc_id, r.shard) for r in sharding.shard_documents(docs).collect()}
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), None if i % 10 == 0 else f"s{i % 4}" if i % 100 else "tiny") for i in range(2000)] + [(5000, None, "s1"), (5001, "", "s1")]
     found = mixing.mix_sources(frame(spark, rows)).collect()
