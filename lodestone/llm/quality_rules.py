@@ -92,12 +92,13 @@ def is_kept(f: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept``.
+    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept, clean_text``.
 
     Each line is judged first (``line_verdict``). A text is rejected if it has fewer than 20
     words, if over 30 % of its words are in repeated windows of eight words, or if its failing
     lines hold more than half of its word characters. A null or empty text has no words and
-    fails. Every row is judged alone, so repeated rows get equal verdicts and an empty table none.
+    fails. ``clean_text`` is the text without its failing lines, of rejected rows too; null stays
+    null. Every row is judged alone, so repeated rows get equal verdicts and an empty table none.
     New columns replace clashing ones.
     """
     f = F.col("__facts")
@@ -111,6 +112,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_failed": base_failed(f),
         "lost_chars": f["lines"]["lost_chars"],
         "kept": is_kept(f),
+        "clean_text": clean_lines(F.col(text)),
     }).drop("__facts")
 
 

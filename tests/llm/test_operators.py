@@ -85,6 +85,12 @@ def test_line_rules(spark):
     assert kept == {1: False, 2: False, 3: True}
 
 
+def test_clean_text(spark):
+    text = f"{PROSE}\nHome | News | About | Contact\n\nAll rights reserved.\nlast line"
+    rows = {r.doc_id: r.clean_text for r in quality_rules.quality_rules(frame(spark, [(1, text, "a"), (2, None, "a"), (3, "", "a")])).collect()}
+    assert rows == {1: f"{PROSE}\n\nlast line", 2: None, 3: ""}
+
+
 def test_sharding(docs):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == docs.count()
