@@ -36,16 +36,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textkernel as K
 from .components import checkpoint_dir, merged
 
 WIDTH, NUM, DEN = 5, 75, 100  #: words in a shingle; similarity NUM / DEN
 SMALL, BLOCK, SEEDS = 16, 2048, 24
-FEW_IDS = 1 << 20  #: ids of candidates that are sent out whole
+FEW_IDS = 1 << 20  #: ids, or rows of two or three numbers, that are sent out whole
+HOT = 1 << 16  #: rows of a key that is sent out alone
 SHARE = (0.355, 1.1)  #: segments of large groups, as a share of the largest size: constant, and by the root of the size
 SMALL_GROUP = 48  #: largest size of the groups that index one-deletion neighbourhoods
 LEAST_BITS = 256
@@ -415,13 +417,13 @@ def _texts(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = needed.join(classes, "class").select("doc_id", "class").checkpoint()
     chosen = F.broadcast(chosen) if chosen.count() <= FEW_IDS else chosen.hint("merge")
-    return texts.join(chosen, "doc_id").select("class", "text").mapInArrow(own_class, "class long, text string").dropDuplicates(["class"]).checkpoint()
+    return texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("class", "text").mapInArrow(own_class, "class long, text string").dropDuplicates(["class"]).checkpoint()
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     side = lambda x: known.select(F.col("class").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(linked, "a long, b long").checkpoint()
+    return both.select("a", "b", "t_a", "t_b").mapInArrow(linked, "a long, b long")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -441,48 +443,102 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, components: D
     return merged(components, _verified(rest, known))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document.
-
-    Words are what white space separates, A-Z lower-cased; a document's set has its distinct
-    shingles of five words (one of fewer words has its whole sequence as one shingle). Documents
-    with 100 |x & y| >= 75 |x | y| link; ``component_id`` is the smallest ``doc_id`` reachable.
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with ``__told``, what ``table`` (``key``, ``n``: rows that have it, and more) says of their key, or null.
 
-    Null and empty texts have no shingles, link with nothing and are their own component. Equal
-    sets form one class, so copies are joined once, not in pairs. A ``doc_id`` on several rows
-    counts as one document with several texts in what it reaches, and returns one row for each
-    row. An empty table gives no rows; other columns of ``docs`` are ignored. Rows without a
-    ``doc_id`` return as they are, with a null component unless they link.
+    A table counted to be small is broadcast. Of a larger one the keys of ``HOT`` rows and more, which
+    are at most a ``HOT``-th of the rows, are broadcast; rows of other keys are dealt by key, and hot
+    ones by ``spread``.
     """
+    told = F.struct(*[c for c in table.columns if c not in (key, "n")])
+    if table.count() <= FEW_IDS:
+        return rows.join(F.broadcast(table.select(F.col(key).alias("__key"), told.alias("__told"))), F.col(key) == F.col("__key"), "left").drop("__key")
+    hot = table.filter(F.col("n") >= HOT).select(F.col(key).alias("__key"), told.alias("__hot"))
+    cool = table.filter(F.col("n") < HOT).select(F.col(key).alias("__key"), F.lit(False).alias("__side"), told.alias("__cool"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").drop("__key")
+    is_hot = F.col("__hot").isNotNull()
+    out = out.withColumns({"__key": F.when(is_hot, F.xxhash64(spread)).otherwise(F.col(key)), "__side": is_hot})
+    out = out.join(cool.hint("merge"), ["__key", "__side"], "left")
+    return out.select(*rows.columns, F.coalesce("__hot", "__cool").alias("__told"))
+
+
+def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of every row ``doc_id, n_shingles, class``; of classes with several rows or a link ``class, n, component_id, first_class``."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = texts.mapInArrow(describe, "doc_id long, n_shingles long, class long, sketch binary").checkpoint()
-    classes = described.filter("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")).checkpoint()
+    classes = described.filter("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.count("*").alias("n")).checkpoint()
     met = texts.mapInArrow(index(parts), "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "a long, b long, sig long, upper byte, slack short").checkpoint()
     pairs = met.filter("b is not null").select("a", "b").distinct()
     groups_ = _links(_not_ruled_out(pairs, classes).checkpoint(), texts, classes)
     hot = met.filter("sig is not null").select("sig", F.col("a").alias("class"), "upper", "slack")
     groups_ = _hub_links(hot, groups_, classes, texts)
     groups_ = _unsure_links(hot, groups_, classes, texts)
-    named = classes.select("class", "doc_id").join(groups_.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("component", F.coalesce("component", "class"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("class", "component_id")
-    out = described.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    several = classes.select("class", "doc_id", "n").join(groups_.withColumnRenamed("node", "class"), "class", "left")
+    several = several.filter("component IS NOT NULL OR n > 1").withColumn("component", F.coalesce("component", "class")).checkpoint()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class"))
+    smallest = several.groupBy("component").agg(first.alias("first"), F.count("*").alias("n"))
+    smallest = smallest.select("component", "n", F.col("first.doc_id").alias("component_id"), F.col("first.class").alias("first_class")).checkpoint()
+    named = _looked_up(several.select("class", F.col("n").alias("rows"), "component"), smallest, "component", "class")
+    return described.drop("sketch"), named.select("class", F.col("rows").alias("n"), "__told.component_id", "__told.first_class").checkpoint()
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document.
+
+    Words are what white space separates, A-Z lower-cased; a document's set has its distinct
+    shingles of five words (one of fewer words has its whole sequence as one shingle). Documents
+    with 100 |x & y| >= 75 |x | y| link; ``component_id`` is the smallest ``doc_id`` reachable.
+
+    Null and empty texts have no shingles, link with nothing and are their own component. Equal
+    sets form one class, so copies are joined once, not in pairs. A ``doc_id`` on several rows
+    stands for several texts, each with its own links, and returns one row for each row. An empty
+    table gives no rows; other columns of ``docs`` are ignored. Rows without a ``doc_id`` return
+    as they are, with a null component unless they link with one that has an id.
+    """
+    described, named = _named(docs, doc_id, text)
+    out = _looked_up(described, named.drop("first_class"), "class", "doc_id")
+    return out.select("doc_id", "n_shingles", F.coalesce("__told.component_id", "doc_id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id.
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id.
 
-    A ``doc_id`` on several rows stays once; rows without one stay as they are.
+    Rows without an id come last, and then the set with the smallest hash. Rows with the same id and
+    the same set stay once; rows that share an id and no set are judged each by its text. Texts
+    without words all stay. An empty table gives no rows; the columns stay as they are.
+
+    Only ids are joined: those whose rows all go, and those on several rows, whose texts are looked
+    at again. Whole rows move only where the counted ids are too many to send out.
     """
-    found = jaccard_components(docs, doc_id, text)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(stay, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns)
-    return named.unionByName(docs.filter(F.col(doc_id).isNull()))
+    described, named = _named(docs, doc_id, text)
+
+    def stays(own: Column, id_: Column) -> Column:
+        told = F.col("__told")
+        return told.isNull() | (told["first_class"] == own) & id_.eqNullSafe(told["component_id"])
+
+    judged = _looked_up(described, named, "class", "doc_id").select("doc_id", stays(F.col("class"), F.col("doc_id")).alias("stays"))
+    ids = judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("open"))
+    ids = ids.filter("n > 1 OR NOT open").withColumnRenamed("doc_id", "__id").checkpoint()
+    row_id = F.col(doc_id).cast("long")
+    told = _looked_up(docs.withColumn("__id", row_id), ids, "__id", text)
+    sure = told.filter("__id IS NOT NULL AND __told IS NULL").select(docs.columns)
+    unsure = told.filter("__id IS NULL OR __told.open").select(docs.columns)
+    kinds = StructType([*docs.schema.fields, StructField("__class", LongType())])
+    at = docs.columns.index(text)
+
+    def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, shingles, ends in _sets(batch, at):
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_identity(shingles, ends))], names=kinds.names)
+
+    again = _looked_up(unsure.mapInArrow(with_class, kinds), named.withColumnRenamed("class", "__class"), "__class", text)
+    again = again.filter(stays(F.col("__class"), row_id)).drop("__told")
+    once = again.filter("__class <> 0").dropDuplicates([doc_id, "__class"])
+    return sure.unionByName(once.drop("__class")).unionByName(again.filter("__class = 0").drop("__class"))
 
 
 def _hub_links(hot: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """Operators on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, html_text, licenses, mixing, pii, quality_ranking, quality_rules, sharding, token_counts
-from lodestone.llm.components import connected_components
+from lodestone.llm import components, decontaminate, html_text, jaccard_join, licenses, mixing, pii, quality_ranking, quality_rules, sharding, token_counts
+from lodestone.llm.components import connected_components, merged
 from lodestone.llm.jaccard_join import first_of_groups, jaccard_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string, size string"
@@ -61,11 +62,42 @@ def test_jaccard_join(docs):
 
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
+    assert first_of_groups(frame(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, monkeypatch):
+    other = " ".join(f"other{i}" for i in range(60))
+    third = " ".join(f"third{i}" for i in range(60))
+    near = lambda text, k: text.replace(f"{k} ", "changed ", 1)
+    rows = [(5, PROSE, "a"), (5, other, "a"), (5, other, "a"), (3, near(other, "other30"), "a"), (None, third, "a"), (None, near(third, "third30"), "a"), (None, near(PROSE, "word9"), "a"), (8, None, "a"), (8, "", "a")]
+    wanted = Counter([(5, PROSE), (3, near(other, "other30")), (None, None), (8, None), (8, "")])
+    own = frame(spark, rows).withColumns({"component_id": F.lit("x"), "first_class": F.lit(1), "n": F.lit(2)})
+    for few in (jaccard_join.FEW_IDS, 0):
+        monkeypatch.setattr(jaccard_join, "FEW_IDS", few)
+        monkeypatch.setattr(jaccard_join, "HOT", 2)
+        found = first_of_groups(own)
+        assert found.columns == own.columns
+        assert Counter((r.doc_id, r.text if r.doc_id is not None else None) for r in found.collect()) == wanted
+        linked = Counter((r.doc_id, r.component_id) for r in jaccard_components(own).collect())
+        assert linked == Counter({(5, 5): 1, (5, 3): 2, (3, 3): 1, (None, None): 2, (None, 5): 1, (8, 8): 2})
 
 
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 8), (2, 1)], "a long, b long")
-    assert {tuple(r) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
+    wanted = {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
+    assert {tuple(r) for r in connected_components(edges).collect()} == wanted
+    more = spark.createDataFrame([(4, 9), (20, 21)], "a long, b long")
+    assert {tuple(r) for r in merged(connected_components(edges), more).collect()} == {(x, 1) for x in (1, 2, 3, 4, 8, 9)} | {(20, 20), (21, 20)}
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    """Edge tables too large for one task give the same components."""
+    rng = random.Random(7)
+    pairs = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(i, i + 1) for i in range(5000, 5040)] + [(6000, i) for i in range(6001, 6400)] + [(9000, 9000)]
+    edges, more = (spark.createDataFrame(x, "a long, b long") for x in (pairs, [(5000, 6000), (1, 6100)]))
+    small = Counter(map(tuple, connected_components(edges).collect())), Counter(map(tuple, merged(connected_components(edges), more).collect()))
+    monkeypatch.setattr(components, "ROWS", 8)
+    assert (Counter(map(tuple, connected_components(edges).collect())), Counter(map(tuple, merged(connected_components(edges), more).collect()))) == small
 
 
 def test_quality_rules(docs):
