@@ -12,6 +12,7 @@ from .components import checkpoint_dir
 
 SHARDS, SEED = 16, 20
 BUCKET_BYTES = 4 << 20  #: text bytes that one bucket holds in memory, about
+MOST_TASKS = 1 << 14
 
 
 def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -37,7 +38,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc
 
 def _dealt(placed: DataFrame, shards: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``shard_documents`` of rows that have their number in ``__place``."""
-    spark = placed.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     records = placed.select(
         F.col(doc_id).alias("doc_id"),
@@ -52,8 +52,9 @@ def _dealt(placed: DataFrame, shards: int, seed: int, doc_id: str = "doc_id", te
     scattered = records.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "place", F.lit(seed + 1)), F.lit(buckets)).cast("int"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # A number of partitions that is named here is kept by adaptive execution, as the seeded shuffle needs.
-    dealt = scattered.repartition(min(shards * buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "bucket")
+    # The seeded shuffle goes by partition, so their number follows from the data alone; one that is
+    # named here is kept by adaptive execution.
+    dealt = scattered.repartition(min(shards * buckets, MOST_TASKS), "shard", "bucket")
     record = F.struct("place", "doc_id", "size", "text_crc32", "grown_shard")
     held = dealt.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(record)).alias("held")).sortWithinPartitions("shard", "bucket")
     mixed = held.select("shard", "bucket", F.shuffle("held", seed).alias("held"))
