@@ -45,13 +45,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .pii import PATTERNS, find_pii, listed
+    from .pii import MORE, PATTERNS, find_spans, listed
 
-    found = find_pii(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["kind"] != "term")
+    found = find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*PATTERNS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(k) for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *[count(k) for k in PATTERNS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *[count(k) for k in MORE], every)
 
 
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
