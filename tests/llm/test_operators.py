@@ -442,6 +442,68 @@ def test_html():
     assert html_text.extract("<div" + " " * 50_000, weight) is not None
 
 
+def test_html_around_and_inside_the_article():
+    weight = html_text.weights([])
+    body = " ".join(f"word{i}" for i in range(40))
+    in_ = lambda before, inside, after="": html_text.extract(f"<body>{before}<article>{inside}</article>{after}</body>", weight)
+    assert in_("", f"<p>{body}</p>", "<section id=comments><article class=comment><p>I liked it very much</p></article></section>") == body
+    assert in_("", f"<p>{body}</p><section id=comments><article class=comment><p>me too</p></article></section>") == body
+    assert in_("<aside><article class=card><p>another story here</p></article></aside>", f"<p>{body}</p>") == body
+    assert in_("", f'<div class="article-header"><h1>A</h1></div><div><div><div><div><p>{body}</p></div></div></div></div>') == "A " + body
+    assert in_("", f'<section class="social-science"><p>{body}</p></section>') == body
+    assert in_("", f"<ul><li>one</li><li><a href=x>two</a></li></ul><p>{body}</p><table><tr><td>3</table>") == f"one two {body} 3"
+    assert in_("", f"<header><h1>Head</h1></header><p>{body}</p><form><label>name</label></form><aside>see also</aside><p>end</p>") == f"Head {body} end"
+    assert in_("<div class=ad>buy this now<nav><a>home</a>", f"<p>{body}</p>") == body  # neither closes
+    assert in_("<header><p>The Daily News</p></header>", f"<p>{body}</p>", "<div role=contentinfo>all of it</div>") == body
+    assert html_text.extract("<article></article><nav>home</nav>", weight) == ""
+
+
+def test_html_scan_finds_the_region():
+    """No element or class says where the article is: the run of words decides."""
+    weight = html_text.weights([])
+    body = " ".join(f"word{i}" for i in range(40))
+    links = "<div>" + "".join(f"<div><a href={i}>go there</a></div>" for i in range(12)) + "</div>"
+    page = f"<body><div>one two</div>{links}<div><p>{body}</p><p>last</p></div>{links}<div>three</div></body>"
+    segments, roots = html_text.parse(page, weight)
+    assert not roots and not any(s.outside for s in segments)
+    assert html_text.extract(page, weight) == body + " last"
+    assert len(" ".join(s.text for s in segments).split()) > 80
+
+
+def test_html_run_against_brute_force():
+    rng = random.Random(5)
+    weight = html_text.weights([])
+    for _ in range(60):
+        page = "".join(rng.choice(["a b c ", "d ", "<p>", "</p>", "<a>", "</a>", "<nav>", "</nav>", "<hr>", "<div>", "</div>"]) for _ in range(rng.randrange(1, 25)))
+        segments, _ = html_text.parse(page, weight)
+        own = [(weight[f"word {s.context}"] + s.outside if s.outside > -html_text.SURE else min(weight[f"word {s.context}"], 0) + s.outside) * len(s.text.split()) for s in segments]
+        cost = [sum(weight[f"tag {t}"] for t in s.tags) for s in segments]
+        total = {(i, j): sum(own[i:j]) + sum(cost[i + 1 : j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1)}
+        first, last = html_text.best_run(segments, weight)
+        best = max(total.values(), default=0)
+        assert (total[first, last] if last else 0) == pytest.approx(max(best, 0))
+
+
+def test_html_learns_class_words(spark):
+    """A class that no list names is learned from labelled pages and holds on pages that were not among them."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    page = lambda i, root: f"<body><div class='zork'>{' '.join(f'junk{i}y{j}' for j in range(12))}</div><{root}><p>{body(i)}</p><div class='pull'>{i} said</div></{root}><div id=blurb>{i} more of this</div></body>"
+    seen = [(i, f"u{i}", page(i, "article")) for i in range(80)]
+    clash = [F.lit(1).alias(c) for c in ("n_chars", "feature", "inside")]
+    pages = spark.createDataFrame([*seen, (90, "u", None), (91, None, ""), (91, None, "")], "page_id long, url string, html string").select("*", *clash)
+    weight = html_text.learn(pages)
+    assert max(weight["mark zork"], weight["mark blurb"]) < -html_text.SURE and weight["mark pull"] > 1
+    found = html_text.main_text(pages)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    rows = {r.page_id: r for r in found.collect()}
+    assert all(rows[i].text == f"{body(i)} {i} said" and rows[i].n_chars == len(rows[i].text) for i in range(80))
+    assert rows[90].text == rows[91].text == "" and found.count() == 83
+    more = [(i, f"u{i}", page(i, "div")) for i in range(100, 110)]
+    unseen = html_text.main_text(spark.createDataFrame(more * 4, "page_id long, url string, html string"), weight=weight).collect()
+    assert len(unseen) == 40 and all(f"junk{r.page_id}y3" not in r.text and body(r.page_id) in r.text for r in unseen)
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
 def test_token_counts():
     tokenizers = pytest.importorskip("tokenizers")
     pieces = [("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -3.0), ("ba", -1.5), ("▁▁", -9.0)]
