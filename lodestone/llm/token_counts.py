@@ -1,4 +1,9 @@
-"""Operator 10: unigram token counts by a Viterbi pass that keeps only scores and counts."""
+"""Operator 10: unigram token counts by a Viterbi pass that keeps only scores and counts.
+
+Counts are those of a unigram model. The files at hand hold no unigram vocabulary: of
+``piece_bpe_32k.model`` the pieces and scores are read as one, so the query's counts are the best
+segmentation under these scores and not what that file's own merge rules give.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED = 400_000  #: segments that a worker keeps
+CACHED, LONGEST = 1 << 24, 64  #: characters of segments that a worker keeps, and of one of them
 
 
 class Unigram:
@@ -35,6 +40,7 @@ class Unigram:
         # Paths meet wherever no piece goes across: before a space mark after another character, and at line ends.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p, _ in pieces)
         self.cache: dict[str, complex] = {}
+        self.held = 0
 
     def best(self, text: str) -> tuple[int, float]:
         """Tokens and score of one segment, as it stands."""
@@ -67,9 +73,13 @@ class Unigram:
         """Tokens and score as one number, so that both add at once."""
         known = self.cache.get(text)
         if known is None:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            known = self.cache[text] = complex(*self.best(text))
+            known = complex(*self.best(text))
+            if len(text) <= LONGEST:
+                if self.held >= CACHED:
+                    self.cache.clear()
+                    self.held = 0
+                self.cache[text] = known
+                self.held += len(text) + LONGEST
         return known
 
     def count(self, text: str | None) -> tuple[int, float]:
@@ -109,25 +119,27 @@ def load(path: str) -> tuple[list[tuple[str, float]], bool]:
 _models: dict[str, Unigram] = {}
 
 
-def model(path: str) -> Unigram:
+def model(name: str, vocabulary: tuple[list[tuple[str, float]], bool]) -> Unigram:
     """The worker's model, built once and kept with its cache."""
-    if path not in _models:
-        _models[path] = Unigram(*load(path))
-    return _models[path]
+    if name not in _models:
+        _models[name] = Unigram(*vocabulary)
+    return _models[name]
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, score`` of every row, over whole texts.
 
-    The pieces and scores of ``vocabulary`` are read as a unigram vocabulary; the file must lie at
-    this path on every executor. Null and empty texts have no tokens; equal texts have equal
-    counts. An empty table gives no rows; extra columns are ignored. A long text without spaces
-    is one segment, in time and memory proportional to its length.
+    The pieces and scores of ``vocabulary`` are read as a unigram vocabulary, by the driver alone;
+    it goes out whole (a vocabulary is some ten thousand pieces). Null and empty texts have no
+    tokens; equal texts have equal counts; of paths with one score the tokenizer's wins. An empty
+    table gives no rows; extra columns are ignored. A long text without spaces is one segment, in
+    time and memory proportional to its length.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram = model(vocabulary)
+        unigram = model(vocabulary, held.value)
         for batch in batches:
             found = [unigram.count(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])

@@ -1,6 +1,7 @@
 """Operators on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -514,6 +515,30 @@ def test_token_counts():
     assert own.count(None) == own.count("") == (0, 0.0)
 
 
+@pytest.mark.skipif(not os.path.exists(token_counts.VOCABULARY), reason="needs the vocabulary file")
+def test_token_counts_of_the_production_vocabulary(spark):
+    """Against the tokenizers library's unigram model with byte fallback, and against one pass over whole texts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    pieces, has_bytes = token_counts.load(token_counts.VOCABULARY)
+    own = token_counts.Unigram(pieces, has_bytes)
+    named = [("<unk>", 0.0), *pieces] + [(f"<0x{b:02X}>", -1e9) for b in range(256)]
+    # The library takes the lowest score of all pieces less 10 for what is unknown; byte pieces must not lower it.
+    low = min(s for _, s in pieces)
+    theirs = tokenizers.Tokenizer(tokenizers.models.Unigram([(p, max(s, low)) for p, s in named], 0, True))
+    rng = random.Random(4)
+    alphabet = "abcdefgh the of in. \n\t  éèüß☃😀中文\u2581"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120))) for _ in range(300)]
+    texts += [" ".join(rng.choice(["the", "token", "of", "réalité", "zzzqqq", "12.5"]) for _ in range(60)), " ", "\n\n", "x" * 5000]
+    plain = lambda t: token_counts.SPACE + t.replace(" ", token_counts.SPACE)
+    for text in texts:
+        assert own.count(text)[0] == own.best(plain(text))[0] == len(theirs.encode(plain(text), add_special_tokens=False).ids), text
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(1, texts[1], "b"), (None, None, "a"), (9999, "", "a")]).withColumns({"n_tokens": F.lit("x"), "score": F.lit("y")})
+    rows = token_counts.token_counts(docs).collect()
+    assert len(rows) == len(texts) + 3
+    assert all(r.n_tokens == (own.count(texts[r.doc_id])[0] if r.doc_id is not None and r.doc_id < len(texts) else 0) for r in rows)
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
 def test_licenses():
     assert [x[0] for x in licenses.scan("Some prose.\nReleased under the MIT License.\nMore.")] == ["MIT"]
     name, start, end, apart = licenses.scan("See: licensed under the Apache Licence, Version 2.0")[0]
@@ -550,12 +575,53 @@ def test_licenses_side_by_side():
 def test_quality_ranking(spark):
     good = [(i, f"This is text number {i}. It says something of its own, {i * 7} times.", "a") for i in range(200)]
     bad = [(1000 + i, f"BUY!! {i}$$$ NOW!! ### | | |", "a") for i in range(200)]
-    documents = frame(spark, [*good, *bad, (5000, None, "a"), (5001, "", "a")])
+    documents = frame(spark, [*good, *bad, (5000, None, "a"), (5001, "", "a"), (None, "x", "a"), (4, good[4][1], "a")]).withColumns({"score": F.lit("s"), "held_out": F.lit(1), "predicted": F.lit(2), "x": F.lit(3), "label": F.lit(4)})
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in good + bad] + [(3, 0), (None, 1)], "doc_id long, quality int")
     rows = quality_ranking.score_quality(documents, labels).collect()
-    assert len(rows) == 402 and all(0 <= r.score <= 1 for r in rows)
+    assert len(rows) == 404 and all(0 <= r.score <= 1 for r in rows)
     assert all(r.predicted == int(r.doc_id < 1000) for r in rows if r.held_out and r.doc_id < 5000)
-    assert quality_ranking.score_quality(documents, labels.limit(0)).count() == 402
+    assert len({r.score for r in rows if r.doc_id in (5000, 5001)}) == 1
+    assert quality_ranking.score_quality(documents, labels.limit(0)).count() == 404
+    assert quality_ranking.score_quality(documents.limit(0), labels).count() == 0
+
+
+def auc(scores, labels):
+    above = [(s > t) + 0.5 * (s == t) for s, a in zip(scores, labels, strict=True) if a for t, b in zip(scores, labels, strict=True) if not b]
+    return sum(above) / len(above)
+
+
+def test_quality_of_texts_that_differ_in_their_words_alone(spark):
+    """Junk with the lengths, marks and capitals of good texts; scores of rows that were held out."""
+    rng = random.Random(8)
+    syllables = ["ba", "ne", "tor", "li", "mu", "san", "der", "o", "pe", "ki"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(len(w))) for w in words]
+    text = lambda pool: ". ".join(" ".join(rng.choice(pool) for _ in range(8)).capitalize() for _ in range(6)) + "."
+    rows = [(i, text(words if i % 2 else [rng.choice([a, b]) for a, b in zip(words, junk, strict=True)]), "a") for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    found = [r for r in quality_ranking.score_quality(frame(spark, rows), labels).collect() if r.held_out]
+    assert len(found) > 80
+    assert auc([r.score for r in found], [r.doc_id % 2 for r in found]) > 0.97
+
+
+def test_pairwise_fit_against_gradient_descent():
+    """Newton's weights against plain descent on the same pairwise loss."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, quality_ranking.WIDE))
+    x[:, 5:] = 0
+    label = (x[:, 0] + 0.5 * rng.normal(size=60) > 0).astype(int)
+    model = quality_ranking.fit(x, label)
+    z = model.expand(x)
+    left, right = quality_ranking.pairs(label, 2)
+    apart = z[left] - z[right]
+    loss = lambda w: np.logaddexp(0, -apart @ w).mean() + quality_ranking.RIDGE / 2 * w @ w
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(apart @ w))
+        w -= 0.5 * (-apart.T @ p / len(apart) + quality_ranking.RIDGE * w)
+    assert loss(model.weight) <= loss(w) + 1e-9
 
 
 def test_pipeline(spark, docs, tmp_path):
