@@ -33,9 +33,16 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "LGPL-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "Proprietary": ("All rights reserved.",),
 }
-TRIGGER = re.compile(r"licen[sc]e|copyright|permission is hereby|redistribut|free software|rights reserved|creative commons|\bCC[ -]BY", re.I)
+TRIGGER = re.compile(r"licen[sc]e|copyright|permission is hereby|permission to use|public domain|redistribut|free software|rights reserved|creative commons|\bCC[ -]BY", re.I)
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 MOST_DIFFERENT = 0.2  #: differing words of a confirmed notice, as a share of the template's
 FIRST = 3  #: templates of largest reduction whose wording is compared; more if they tie

@@ -561,6 +561,51 @@ def test_licenses_in_long_lines_and_short_ones():
     assert [x[0] for x in licenses.scan("-" * 300_000 + " All rights reserved " + "-" * 300_000)] == ["Proprietary"]
 
 
+def test_every_license_template_finds_itself(spark):
+    rows, wanted = [], {}
+    for i, (name, text) in enumerate((n, t) for n, x in licenses.TEMPLATES.items() for t in x):
+        rows.append((i, f"Some prose of its own.\n{text}\nAnd more prose.", "a"))
+        wanted[i] = name
+    docs = frame(spark, [*rows, rows[0], (100, None, "a"), (None, "", "a")]).withColumns({"licenses": F.lit("l"), "notices": F.lit(1), "n_notices": F.lit(2)})
+    found = licenses.license_notices(docs).collect()
+    assert len(found) == len(rows) + 3
+    for r in found:
+        assert r.licenses == wanted.get(r.doc_id, "") and r.n_notices == (r.doc_id in wanted)
+        if r.n_notices:
+            assert r.notices.endswith(":0")
+    assert licenses.license_notices(docs.limit(0)).count() == 0
+
+
+def best_stretch(words, template):
+    """Fewest differing words of any stretch of the text against the whole template, by trying all stretches."""
+    best = len(template)
+    for i in range(len(words)):
+        row = list(range(len(template) + 1))
+        for j in range(i, min(len(words), i + 2 * len(template))):
+            last, row = row, [row[0] + 1]
+            for k, w in enumerate(template):
+                row.append(min(last[k] + (w != words[j]), last[k + 1] + 1, row[k] + 1))
+            best = min(best, row[-1])
+    return best
+
+
+def test_licenses_with_changed_words_against_all_stretches():
+    """A notice is confirmed only within the limit of differing words, and always if some are changed one for one."""
+    rng = random.Random(6)
+    for name, text in (("MIT", licenses.TEMPLATES["MIT"][2]), ("Apache-2.0", licenses.TEMPLATES["Apache-2.0"][1]), ("ISC", licenses.TEMPLATES["ISC"][0])):
+        words = text.split()
+        wanted = licenses.WORD.findall(text.lower())
+        for changed in (0, 2, 5, len(words) // 2):
+            own = list(words)
+            for i in rng.sample(range(3, len(words)), changed):
+                own[i] = f"other{i}"
+            block = " ".join(own)
+            found = [x for x in licenses.scan(f"prose before it. {block} prose after it.") if x[0] == name]
+            least = best_stretch(licenses.WORD.findall(block.lower()), wanted)
+            assert all(x[3] <= licenses.MOST_DIFFERENT * len(wanted) and x[3] >= least for x in found)
+            assert bool(found) == (least <= licenses.MOST_DIFFERENT * len(wanted)), (name, changed)
+
+
 def test_licenses_side_by_side():
     names = lambda text: [x[0] for x in licenses.scan(text)]
     assert names("Copyright 2020 Acme. All rights reserved. Released under the MIT License.") == ["Proprietary", "MIT"]
