@@ -33,24 +33,61 @@ def json_token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4))
 
 
+def _within(parts: Column, most: int, glue: str) -> Column:
+    """As many leading parts as a budget of estimated tokens holds, joined; lengths are summed, no text is copied in the fold."""
+    zero = F.struct(F.lit(0).alias("length"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def add(acc: Column, part: Column) -> Column:
+        longer = acc["length"] + F.length(part) + F.when(acc["n"] > 0, len(glue)).otherwise(0)
+        fits = acc["open"] & (F.floor(longer / 4) <= most)
+        return F.struct(F.when(fits, longer).otherwise(acc["length"]).alias("length"), (acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"), fits.alias("open"))
+
+    return F.array_join(F.slice(parts, 1, F.aggregate(parts, zero, add, lambda acc: acc["n"])), glue)
+
+
 def truncate_at_word(text: Column, most: int) -> Column:
-    """TX12: whole words within a budget of estimated tokens, then ``...``; unchanged if it fits."""
-    words = F.split(text, " ")
-    zero = F.struct(F.lit("").alias("out"), F.lit(True).alias("open"))
+    """TX12: whole words within a budget of estimated tokens, then ``...``; unchanged if it fits. Any white space parts words."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.when(token_estimate(text) <= most, text).otherwise(F.concat(_within(words, most, " "), F.lit("...")))
+
+
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ])"
+
+
+def sentences(text: Column) -> Column:
+    """TX9: parts after ``.``, ``!`` or ``?`` before white space and a capital, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
 
-    def add(acc: Column, word: Column) -> Column:
-        longer = F.when(acc["out"] == "", word).otherwise(F.concat(acc["out"], F.lit(" "), word))
-        fits = acc["open"] & (token_estimate(longer) <= most)
-        return F.struct(F.when(fits, longer).otherwise(acc["out"]).alias("out"), fits.alias("open"))
+def truncate_at_sentence(text: Column, most: int) -> Column:
+    """TX11: whole sentences within a budget of estimated tokens; a first one that is too long is cut, with ``...``."""
+    parts = F.split(text, r"(?<=[.!?]\s)")
+    kept = F.regexp_replace(_within(parts, most, ""), r"^\s+|\s+$", "")
+    return F.when(token_estimate(text) <= most, text).when(token_estimate(parts[0]) > most, F.concat(F.substring(text, 1, 4 * most), F.lit("..."))).otherwise(kept)
 
-    return F.when(token_estimate(text) <= most, text).otherwise(F.concat(F.aggregate(words, zero, add, lambda acc: acc["out"]), F.lit("...")))
+
+def _last(text: Column, what: str) -> Column:
+    """Where ``what`` is last in ``text``, from 0; -1 if nowhere."""
+    at = F.locate(what[::-1], F.reverse(text))
+    return F.when(at == 0, -1).otherwise(F.length(text) - at - len(what) + 1)
+
+
+def _first(text: Column, what: str) -> Column:
+    at = F.locate(what, text) - 1
+    return F.when(at < 0, F.length(text)).otherwise(at)
 
 
 def head_tail(text: Column, most: int) -> Column:
-    """TX13: 60 % head, 35 % tail and a marker with how much is left out."""
-    head, tail = int(most * 0.6), int(most * 0.35)
-    marker = F.concat(F.lit("\n... ["), (F.length(text) - head - tail).cast("string"), F.lit(" chars omitted] ...\n"))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), marker, F.right(text, F.lit(tail))))
+    """TX13: 60 % head and 35 % tail, each to a line or sentence end if one is near, and a marker with how much is left out."""
+    n_head, n_tail = int(most * 0.6), int(most * 0.35)
+    head, tail = F.substring(text, 1, n_head), F.right(text, F.lit(n_tail))
+    stop = F.greatest(_last(head, "\n"), _last(head, ". "))
+    head = F.when(stop > n_head * 0.8, F.substring(head, F.lit(1), stop + 1)).otherwise(head)
+    start = F.least(_first(tail, "\n"), _first(tail, ". "))
+    cut = F.regexp_replace(F.substring(tail, start + 2, F.length(tail)), r"^\s+", "")
+    tail = F.when((start < F.length(tail) * 0.2) & (start > 0), cut).otherwise(tail)
+    left = (F.length(text) - F.length(head) - F.length(tail)).cast("string")
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(head, F.lit("\n\n[..."), left, F.lit(" chars truncated...]\n\n"), tail))
 
 
 def display_name(name: Column) -> Column:
@@ -112,3 +149,79 @@ def list_style(text: Column) -> Column:
         F.when(t.rlike(r"^\d+\."), "decimal_dot").when(t.rlike(r"^\d+\)"), "decimal_paren").when(t.rlike(r"^[a-z]\)"), "alpha_paren")
         .when(t.rlike(r"^[ivxlcdm]+\."), "roman_dot").when(t.rlike(r"^[•*-]"), "bullet").otherwise("none")
     )
+
+
+# Letters that take a caron, and two spellings that scans get wrong.
+CARON = dict(zip("rRcCsSzZeEnNdDtT", "řŘčČšŠžŽěĚňŇďĎťŤ", strict=True))
+MISREAD = (("mimiřád", "mimořád"), ("Mimiřád", "Mimořád"))
+
+
+def repair_diacritics(text: Column) -> Column:
+    """TX3: a caron that stands alone joins the letter before it, else the one after, else goes; known misreadings are put right.
+
+    Letters with combining marks are first composed where the language at hand needs it (``CARON``).
+    """
+    out = text
+    for mark, after in (("\u030c", False), ("\u02c7", False), ("\u02c7", True)):
+        for plain, whole in CARON.items():
+            out = F.replace(out, F.lit(mark + plain if after else plain + mark), F.lit(whole))
+    out = F.replace(out, F.lit("\u02c7"), F.lit(""))
+    for wrong, right in MISREAD:
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return out
+
+
+# LaTeX commands and what stands for them, in the order in which they are replaced.
+LATEX = (
+    (r"\\cite\{[^}]*\}", ""), (r"\\(?:ref|label)\{[^}]*\}", ""), (r"\\uv\{([^}]*)\}", '"$1"'), (r"\\text(?:bf|it|tt|sc)\{([^}]*)\}", "$1"),
+    (r"\\(?:begin|end)\{[^}]*\}", ""), (r"\\item\s*", "• "), (r"\\par\b", ""), ("~", " "), (r"\\[a-zA-Z]+\s*", ""), (r"\s+", " "),
+)
+
+
+def clean_latex(text: Column) -> Column:
+    """TX7: plain text of LaTeX."""
+    for pattern, plain in LATEX:
+        text = F.regexp_replace(text, pattern, plain)
+    return F.trim(text)
+
+
+def expansion(response: Column, query: Column, part: str, until: str | None) -> Column:
+    """TX24: one labelled part of a model's answer, up to the next label; the query where it is missing."""
+    plain = F.trim(F.regexp_replace(response, r"(?s)<think>.*?</think>", ""))
+    found = F.regexp_extract(plain, rf"(?s){part}:\s*(.+?)" + (rf"(?=\n{until}:|$)" if until else "$"), 1)
+    return F.coalesce(F.nullif(F.trim(found), F.lit("")), query)
+
+
+def key_findings(answer: Column) -> Column:
+    """TX27: the first five parts of an answer, by sentence or bullet, that are longer than 20 characters."""
+    parts = F.transform(F.split(answer, r"[.\n•\-*]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.slice(F.filter(parts, lambda x: F.length(x) > 20), 1, 5)
+
+
+def output_status(error: Column, answer: Column, iterations: Column) -> Column:
+    """TX27: error before clarification before partial."""
+    return F.when(F.coalesce(error, F.lit("")) != "", "error").when(F.lower(answer).contains("needs_clarification"), "needs_clarification").when(iterations >= 10, "partial").otherwise("success")
+
+
+def markdown(title: Column, level: Column, content: Column) -> Column:
+    """TX29: one section: its heading, its content if that is more than the title, and an empty line."""
+    heading = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.repeat(F.lit("#"), F.least(level + 1, F.lit(6)).cast("int")), F.lit(" "), title))
+    body = F.when((F.coalesce(content, F.lit("")) != "") & ~content.eqNullSafe(title), content)
+    return F.concat_ws("\n", heading, body, F.lit(""))
+
+
+def first_field(*fields: Column) -> Column:
+    """TX31: the first field that is neither missing nor empty."""
+    return F.coalesce(*[F.nullif(x.cast("string"), F.lit("")) for x in fields])
+
+
+def page_number(*fields: Column) -> Column:
+    """TX31: the first page that is given and not 0, else the last field, as a number; null if it is none."""
+    given = [F.when(~x.cast("string").isin("", "0"), x.cast("string")) for x in fields]
+    return F.coalesce(*given, fields[-1].cast("string")).try_cast("int")
+
+
+def duration(seconds: Column) -> Column:
+    """TX26: milliseconds, seconds, minutes or hours, whichever is readable."""
+    fixed = lambda x, n: F.format_string(f"%.{n}f", F.bround(x, n))
+    return F.when(seconds < 1, F.concat(fixed(seconds * 1000, 1), F.lit("ms"))).when(seconds < 60, F.concat(fixed(seconds, 2), F.lit("s"))).when(seconds < 3600, F.concat(fixed(seconds / 60, 1), F.lit("m"))).otherwise(F.concat(fixed(seconds / 3600, 1), F.lit("h")))

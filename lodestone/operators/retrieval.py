@@ -1,7 +1,9 @@
-"""Dense and sparse retrieval, fusion and confidence over frames of queries (VS*, FT*, FU*, RC*)."""
+"""Dense and sparse retrieval, fusion and context over frames of queries (VS*, FT*, FU*, TK*, CX*)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,35 +11,73 @@ from pyspark.sql import Window as W
 from ..functions import vectors as V
 from ..functions.text import tokenize
 
-QUERY_BYTES = 8 << 20  #: vectors or words of queries that are sent out whole
+QUERY_BYTES = 8 << 20  #: vectors or words of queries that are sent out at a time
+LAYER_K = {1: 1, 2: 3, 3: 6}  #: results of each layer
+
 
+def blocks(queries: DataFrame, row_bytes: int) -> list[DataFrame]:
+    """A stated query set as broadcast blocks of about ``QUERY_BYTES``, by its counted rows; every query is in one."""
+    n = -(-queries.count() * row_bytes // QUERY_BYTES) or 1
+    if n == 1:
+        return [F.broadcast(queries)]
+    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)]
 
-def small(queries: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast a stated query set if its counted size allows, else leave the join to the planner."""
-    return F.broadcast(queries) if queries.count() * row_bytes <= QUERY_BYTES else queries
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
-def ranked(scored: DataFrame, score: str, k: int | None = None, name: str = "rank") -> DataFrame:
-    """WN2: 0-based ranks per query, ties by id; the first ``k`` only if given."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col(score).desc(), "id")) - 1
-    out = scored.withColumn(name, place)
-    return out if k is None else out.filter(F.col(name) < k)
+
+def ranked(scored: DataFrame, score: str, k: int | None = None, name: str = "rank", *by: str) -> DataFrame:
+    """WN2: 0-based ranks per query (and ``by``), ties by id; the first ``k`` only if given.
+
+    The limit is on the row number itself, so that each task keeps ``k`` rows a query before the shuffle.
+    """
+    out = scored.withColumn(name, F.row_number().over(W.partitionBy("query_id", *by).orderBy(F.col(score).desc(), "id")))
+    return (out if k is None else out.filter(F.col(name) <= k)).withColumn(name, F.col(name) - 1)
 
 
 def dense(queries: DataFrame, items: DataFrame) -> DataFrame:
     """VS1: cosine of every query (``query_id, query``) with every item (``id, vector``); zero vectors are left out.
 
-    A stated query set against all rows: each item meets each query once, where it lies.
+    A stated query set against all rows: each item meets each query once, where it lies, a block of
+    queries at a time.
     """
-    pairs = items.join(small(queries, 600))
-    return pairs.select("query_id", "id", V.cosine(F.col("query"), F.col("vector")).alias("score")).filter("score IS NOT NULL")
+    asked = queries.select("query_id", "query", V.norm(F.col("query")).alias("__q"))
+    own = items.select("id", "vector", V.norm(F.col("vector")).alias("__v"))
+    score = F.round(F.try_divide(V.dot(F.col("query"), F.col("vector")), F.col("__q") * F.col("__v")), 6)
+    return union([own.join(b).select("query_id", "id", score.alias("score")) for b in blocks(asked, 600)]).filter("score IS NOT NULL")
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """TK1: the ``k`` items of smallest cosine distance; filters on ``items`` come before the top k."""
+    return ranked(dense(queries, items), "score", k).select("query_id", "id", F.round(1 - F.col("score"), 6).alias("distance"), "rank")
+
+
+def by_layer(queries: DataFrame, items: DataFrame, k: dict[int, int] = LAYER_K) -> DataFrame:
+    """VS2: the first results of each layer (``id, vector, layer``), as many as ``k`` says."""
+    scored = dense(queries, items).join(items.select("id", "layer"), "id")
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in k.items() for x in kv]), F.col("layer").cast("int"))
+    return ranked(scored, "score", max(k.values()), "rank", "layer").filter(F.col("rank") < most).select("query_id", "layer", "id", "score", "rank")
 
 
 def sparse(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """FT1: terms shared by query (``query_id, text``) and item (``id, text``), through an inverted index."""
-    terms = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    postings = items.select("id", F.explode(tokenize(F.col("text"))).alias("term"))
-    return postings.join(small(terms, 40), "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    """FT1: terms shared by query (``query_id, text``) and item (``id, text``), through an inverted index.
+
+    Items keep the queries' terms only, before these become postings.
+    """
+    out = []
+    for block in blocks(queries, 400):
+        terms = block.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
+        asked = terms.agg(F.collect_set("term").alias("asked"))
+        hits = items.select("id", tokenize(F.col("text")).alias("own")).join(F.broadcast(asked))
+        postings = hits.select("id", F.explode(F.array_intersect("own", "asked")).alias("term"))
+        out.append(postings.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")))
+    return union(out)
+
+
+def token_index(items: DataFrame) -> DataFrame:
+    """FT2: ``id, tokens``, derived once by the analyser that queries use, too."""
+    return items.select("id", F.array_sort(tokenize(F.col("text"))).alias("tokens"))
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> DataFrame:
@@ -57,14 +97,62 @@ def min_max(score: Column, query: W) -> Column:
     return F.when(score.isNull(), 0.0).when(high == low, 0.5).otherwise((score - low) / (high - low))
 
 
-def fuse(lists: dict[str, DataFrame], weights: dict[str, float], k: int) -> DataFrame:
-    """FU1, FU2: weighted sum of min-max scores of several lists (``query_id, id, score``), in one shuffle."""
-    names = list(lists)
-    tagged = [lists[x].select("query_id", "id", *[(F.col("score") if y == x else F.lit(None).cast("double")).alias(y) for y in names]) for x in names]
-    out = tagged[0]
-    for more in tagged[1:]:
-        out = out.unionByName(more)
-    out = out.groupBy("query_id", "id").agg(*[F.max(x).alias(x) for x in names])
+def merge_lists(lists: dict[str, DataFrame | None]) -> DataFrame:
+    """J9, FU3: ``query_id, id``, a score column for each list and ``source``, the first list that has the item; in one shuffle.
+
+    A list that failed is None and counts as empty; if all failed, that is an error.
+    """
+    present = {k: x for k, x in lists.items() if x is not None}
+    if not present:
+        raise RuntimeError("every signal failed")
+    column = lambda mine, name: (F.col("score") if mine == name else F.lit(None)).cast("double").alias(name)
+    tagged = [x.select("query_id", "id", *[column(k, name) for name in lists]) for k, x in present.items()]
+    out = union(tagged).groupBy("query_id", "id").agg(*[F.max(x).alias(x) for x in lists])
+    return out.withColumn("source", F.coalesce(*[F.when(F.col(x).isNotNull(), F.lit(x)) for x in lists]))
+
+
+def fuse(lists: dict[str, DataFrame | None], weights: dict[str, float], k: int) -> DataFrame:
+    """FU1, FU2: weighted sum of min-max scores of several lists (``query_id, id, score``)."""
+    out = merge_lists(lists)
     query = W.partitionBy("query_id")
-    total = sum((weights[x] * min_max(F.col(x), query) for x in names), F.lit(0.0))
+    total = sum((weights[x] * min_max(F.col(x), query) for x in lists), F.lit(0.0))
     return ranked(out.withColumn("fused", F.round(total, 6)), "fused", k)
+
+
+#: FU1: original, HyDE document, and the mean of two expansions; FU2 has no original and its weights sum to 1.
+FOUR_SIGNALS = {"orig": 0.5, "hyde": 0.25, "exp0": 0.125, "exp1": 0.125}
+THREE_SIGNALS = {"hyde": 0.5, "exp0": 0.25, "exp1": 0.25}
+
+
+def with_rank(results: DataFrame, payload: DataFrame) -> DataFrame:
+    """J10: what ``payload`` has of the ids in ``results``, with their ranks."""
+    return payload.join(results.select("query_id", "id", "rank"), "id")
+
+
+def expand_hybrid(sections: DataFrame, similar: DataFrame, k: int) -> DataFrame:
+    """CX4: of ``query_id, id, rank`` the first k // 2 of the section, then the first k // 2 similar ones, each id once."""
+    half = k // 2
+    tagged = sections.filter(F.col("rank") < half).select("query_id", "id", F.lit(0).alias("list"), "rank")
+    tagged = tagged.unionByName(similar.filter(F.col("rank") < half).select("query_id", "id", F.lit(1).alias("list"), "rank"))
+    first = tagged.groupBy("query_id", "id").agg(F.min(F.struct("list", "rank")).alias("at"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("at", "id")) - 1
+    return first.select("query_id", "id", place.alias("rank"))
+
+
+def pick_diverse(scored: DataFrame, k: int) -> DataFrame:
+    """TK3: the best of each cluster, noise (-1 or null) without a limit, the first ``k`` of them."""
+    noise = F.col("cluster").isNull() | (F.col("cluster") == -1)
+    best = F.row_number().over(W.partitionBy("query_id", "cluster").orderBy(F.col("score").desc(), "id"))
+    return ranked(scored.withColumn("__best", best).filter(noise | (F.col("__best") == 1)).drop("__best"), "score", k)
+
+
+def hierarchical(queries: DataFrame, items: DataFrame, k: int = 6, slack: float = 0.25, sections: int = 3) -> DataFrame:
+    """VS3: the document (``doc``) of the best layer-1 item, its best layer-3 items within ``slack`` of the top score, its best layer-2 items."""
+    scored = dense(queries, items.select("id", "vector")).join(items.select("id", "layer", "doc"), "id")
+    first = scored.filter("layer = 1").groupBy("query_id").agg(F.max_by("doc", F.struct("score", -F.col("id"))).alias("doc"))
+    inside = scored.filter("layer <> 1").join(first, ["query_id", "doc"])
+    top = F.max("score").over(W.partitionBy("query_id", "layer"))
+    kept = ranked(inside.withColumn("__top", top), "score", max(k, sections), "rank", "layer")
+    most = F.when(F.col("layer") == 3, k).otherwise(sections)
+    near = (F.col("layer") != 3) | (F.col("score") >= F.round(F.col("__top") - slack, 6))
+    return kept.filter(near & (F.col("rank") < most)).select("query_id", "layer", "id", "score")

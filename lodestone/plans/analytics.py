@@ -258,7 +258,7 @@ def _(spark, d):
 
 @query("so1_union_distinct", "SELECT user_id, CAST(len(list_distinct(list(event_type))) AS INT) AS n FROM events GROUP BY user_id")
 def _(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.size(F.array_distinct(F.collect_list("event_type"))).alias("n"))
+    return events(spark, d).groupBy("user_id").agg(F.size(F.collect_set("event_type")).alias("n"))
 
 
 @query("so2_bag_union", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
@@ -277,19 +277,6 @@ def _(spark, d):
     return conversations(spark, d).withColumn("rn", last).filter("rn <= 100").select("conv_id", "turn", "role", "text")
 
 
-@query("cv2_spending_fold")
-def _(spark, d):
-    """An add within the limit counts, a rejected one does not, per user in order."""
-    adds = events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("adds"))
-    zero = F.struct(F.lit(0.0).alias("spent"), F.lit(0).alias("rejected"))
-
-    def add(acc, x):
-        fits = acc["spent"] + x["value"] <= 500
-        return F.struct(F.when(fits, acc["spent"] + x["value"]).otherwise(acc["spent"]).alias("spent"), (acc["rejected"] + F.when(fits, 0).otherwise(1)).alias("rejected"))
-
-    return adds.select("user_id", F.aggregate("adds", zero, add).alias("s")).select("user_id", F.round("s.spent", 4).alias("spent"), "s.rejected")
-
-
 @query("cv3_remaining_budget", "SELECT c_custkey, round(greatest(0, 500 - coalesce(sum(o_totalprice) / 1000, 0)), 4) AS remaining FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def _(spark, d):
     spent = orders(spark, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.sum("o_totalprice") / 1000).alias("spent"))
@@ -325,11 +312,6 @@ def _(spark, d):
     return conversations(spark, d).select("conv_id", "turn", F.least(F.lit(100), score).alias("score"))
 
 
-@query("ss5_latest_snapshot", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
-def _(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-
-
 @query("tg3_as_of_facts", "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate AS valid_at, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS invalid_at FROM orders) WHERE valid_at <= TIMESTAMP '1996-01-01' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1996-01-01')")
 def _(spark, d):
     at = F.lit("1996-01-01").cast("timestamp")

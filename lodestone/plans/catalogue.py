@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, evaluation, graphs, retrieval, text  # noqa: F401
+from . import analytics, documents, evaluation, files, graphs, grouping, language, linking, retrieval, scoring, text, trees  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -103,8 +103,7 @@ def _(spark, d):
 
 @query("ag4_entity_count_in_chunk", "SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS INT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0")
 def _(spark, d):
-    flags = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("flags"))
-    return flags.select("l_orderkey", F.size(F.filter("flags", lambda x: x == "R")).alias("n")).filter("n > 0")
+    return table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("ag2_document_entities", "SELECT l_orderkey % 100 AS doc, l_suppkey, CAST(count(*) AS BIGINT) AS n, round(avg(l_quantity), 6) AS confidence FROM lineitem GROUP BY ALL")
@@ -127,17 +126,6 @@ def _(spark, d):
     return found.select("conv_id", "target", "neighbour", (F.col("neighbour") - F.col("target")).alias("distance"))
 
 
-@query("wn5_parent_section", "SELECT l_orderkey, l_linenumber, (SELECT max(p.l_linenumber) FROM lineitem p WHERE p.l_orderkey = c.l_orderkey AND p.l_linenumber < c.l_linenumber AND p.l_partkey % 4 < c.l_partkey % 4) AS parent FROM lineitem c")
-def _(spark, d):
-    """The nearest section before, of a lower level: per level the last place, then the largest of the lower ones."""
-    level = F.col("l_partkey") % 4
-    before = W.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(W.unboundedPreceding, -1)
-    last = [F.max(F.when(level == k, F.col("l_linenumber"))).over(before) for k in range(3)]
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", level.alias("level"), *[x.alias(f"last{k}") for k, x in enumerate(last)])
-    lower = [F.when(F.col("level") > k, F.col(f"last{k}")) for k in range(3)]
-    return rows.select("l_orderkey", "l_linenumber", F.greatest(*lower).alias("parent"))
-
-
 # Top-k
 
 
@@ -164,19 +152,17 @@ def _(spark, d):
 # Joins
 
 
-@query("j8_merge_ranked", "SELECT coalesce(a.id, b.id) AS id, coalesce(a.r, (SELECT count(*) FROM part WHERE p_size < 10)) AS dense, coalesce(b.r, (SELECT count(*) FROM part WHERE p_size > 7 AND p_size < 20)) AS sparse FROM (SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS BIGINT) AS r FROM part WHERE p_size < 10) a FULL JOIN (SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS BIGINT) AS r FROM part WHERE p_size > 7 AND p_size < 20) b ON a.id = b.id")
+@query("j8_merge_ranked", "SELECT query_id, coalesce(a.id, b.id) AS id, coalesce(a.r, (SELECT count(*) FROM part WHERE p_size < 10 AND p_partkey % 20 = query_id)) AS dense, coalesce(b.r, (SELECT count(*) FROM part WHERE p_size > 7 AND p_size < 20 AND p_partkey % 20 = query_id)) AS sparse FROM (SELECT p_partkey % 20 AS query_id, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_retailprice DESC, p_partkey) - 1 AS r FROM part WHERE p_size < 10) a FULL JOIN (SELECT p_partkey % 20 AS query_id, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_name, p_partkey) - 1 AS r FROM part WHERE p_size > 7 AND p_size < 20) b USING (query_id, id)")
 def _(spark, d):
-    """Two ranked lists; a missing rank is the length of its list."""
-    part = table(spark, d, "part")
-
-    def ranked(rows, name, *order):
-        place = (F.row_number().over(W.orderBy(*order)) - 1).cast("long")
-        return rows.select(F.col("p_partkey").alias("id"), place.alias(name)), rows.agg(F.count("*").alias(f"n_{name}"))
-
-    a, n_a = ranked(part.filter("p_size < 10"), "dense", F.col("p_retailprice").desc(), "p_partkey")
-    b, n_b = ranked(part.filter("p_size > 7 AND p_size < 20"), "sparse", "p_name", "p_partkey")
-    both = a.join(b, "id", "full").join(F.broadcast(n_a)).join(F.broadcast(n_b))
-    return both.select("id", F.coalesce("dense", "n_dense").alias("dense"), F.coalesce("sparse", "n_sparse").alias("sparse"))
+    """Two ranked lists of each query; a missing rank is the length of its list."""
+    part = table(spark, d, "part").withColumn("query_id", F.col("p_partkey") % 20)
+    place = lambda *order: (F.row_number().over(W.partitionBy("query_id").orderBy(*order)) - 1).cast("long")
+    a = part.filter("p_size < 10").select("query_id", F.col("p_partkey").alias("id"), place(F.col("p_retailprice").desc(), "p_partkey").alias("r1"))
+    b = part.filter("p_size > 7 AND p_size < 20").select("query_id", F.col("p_partkey").alias("id"), place("p_name", "p_partkey").alias("r2"))
+    none = F.lit(None).cast("long")
+    both = a.withColumn("r2", none).unionByName(b.withColumn("r1", none)).groupBy("query_id", "id").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2"))
+    by = W.partitionBy("query_id")
+    return both.select("query_id", "id", F.coalesce("r1", F.count("r1").over(by)).alias("dense"), F.coalesce("r2", F.count("r2").over(by)).alias("sparse"))
 
 
 @query("j11_merge_by_name", "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND right(c.c_name, 3) = right(s.s_name, 3)")
@@ -197,8 +183,7 @@ def _(spark, d):
 @query("j18_array_membership", "SELECT o_custkey, l_partkey, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def _(spark, d):
     """Chunks that an entity lists, by exploding the list."""
-    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("chunk_ids"))
-    members = lists.select("o_custkey", F.explode("chunk_ids").alias("l_orderkey"))
+    members = table(spark, d, "orders").select("o_custkey", F.explode(F.array("o_orderkey")).alias("l_orderkey"))
     return members.join(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey").groupBy("o_custkey", "l_partkey").agg(F.count("*").alias("n"))
 
 
@@ -212,18 +197,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(value, 5).alias("agreement"))
 
 
-@query("rc1_wn7_confidence", "WITH s AS (SELECT l_orderkey, l_quantity / 50 AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS rn FROM lineitem), f AS (SELECT l_orderkey, max(s) AS top, max(s) - coalesce(max(s) FILTER (WHERE rn = 2), max(s)) AS gap, stddev_pop(s) AS std, count(*) FILTER (WHERE s >= 0.75) / count(*) AS consensus FROM s GROUP BY l_orderkey) SELECT l_orderkey, round(0.3 * top + 0.2 * least(1, gap / 0.3) + 0.15 * consensus + 0.1 * greatest(0, 1 - std / 0.2), 6) AS confidence FROM f")
-def _(spark, d):
-    """The four terms that one list of scores gives: top, gap to the second, consensus and spread."""
-    score = F.col("l_quantity") / 50
-    order = F.row_number().over(W.partitionBy("l_orderkey").orderBy(F.col("l_quantity").desc(), "l_linenumber"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", score.alias("s"), order.alias("rn"))
-    top = F.max("s")
-    gap = top - F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("s"))), top)
-    terms = 0.3 * clamp(top) + 0.2 * clamp(gap / 0.3) + 0.15 * F.count_if(F.col("s") >= 0.75) / F.count("*") + 0.1 * clamp(1 - F.stddev_pop("s") / 0.2)
-    return rows.groupBy("l_orderkey").agg(r6(terms).alias("confidence"))
-
-
 @query("fm1_result_score", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END, 0.0), nullif(CAST(event_id % 2 AS DOUBLE), 0.0), 0.5) AS score FROM events")
 def _(spark, d):
     """The first score that is neither missing nor zero."""
@@ -250,19 +223,6 @@ def tree(spark, d):
     return one("region", "region", "r_regionkey", None, None).union(one("nation", "nation", "n_nationkey", "region", "n_regionkey")).union(one("customer", "customer", "c_custkey", "nation", "c_nationkey"))
 
 
-@query("hy4_ancestors", f"WITH RECURSIVE t AS ({TREE}), p(id, path, depth) AS (SELECT id, id, 0 FROM t WHERE parent IS NULL UNION ALL SELECT t.id, p.path || ' > ' || t.id, p.depth + 1 FROM t JOIN p ON t.parent = p.id) SELECT id, path, depth FROM p")
-def _(spark, d):
-    """Paths from the roots, a level a step; as deep as the tree is (three levels here)."""
-    t = tree(spark, d)
-    level = t.filter("parent IS NULL").select("id", F.col("id").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in (1, 2):
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = t.join(up, "parent").select("id", F.concat("above", F.lit(" > "), "id").alias("path"), F.lit(depth).alias("depth"))
-        out = out.union(level)
-    return out
-
-
 @query("tr1_children", f"SELECT id FROM ({TREE}) WHERE parent = 'region:1'")
 def _(spark, d):
     return tree(spark, d).filter("parent = 'region:1'").select("id")
@@ -310,15 +270,6 @@ def _(spark, d):
     return joined.select("c_custkey", F.coalesce("canonical", "c_mktsegment").alias("canonical"))
 
 
-@query("ed5_cascade", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'exact' WHEN p_size < 20 THEN 'alias' WHEN p_retailprice > 1500 THEN 'semantic' ELSE 'new' END AS layer FROM part")
-def _(spark, d):
-    """Each layer offers matches; the first layer that has one wins."""
-    part = table(spark, d, "part")
-    layers = (("exact", "p_size < 10"), ("alias", "p_size < 20"), ("semantic", "p_retailprice > 1500"), ("new", "true"))
-    offers = F.array(*[F.when(F.expr(x), F.lit(name)) for name, x in layers])
-    return part.select("p_partkey", F.array_compact(offers)[0].alias("layer"))
-
-
 @query("ed10_coverage", "SELECT round(avg(n), 6) AS per_entity, round(100.0 * count(*) FILTER (WHERE n > 1) / count(*), 6) AS cross_document FROM (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey)")
 def _(spark, d):
     each = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))
@@ -339,13 +290,6 @@ def _(spark, d):
     return first.withColumn("rn", place).filter("rn <= 5").select("event_type", "user_id")
 
 
-@query("da3_conflicts", "SELECT p_brand, p_partkey, p_retailprice, count(*) OVER (PARTITION BY p_brand) > 1 AND max(p_retailprice) OVER (PARTITION BY p_brand) > 1800 AS conflict FROM part")
-def _(spark, d):
-    by = W.partitionBy("p_brand")
-    conflict = (F.count("*").over(by) > 1) & (F.max("p_retailprice").over(by) > 1800)
-    return table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", conflict.alias("conflict"))
-
-
 @query("lb5_all_labels", f"SELECT chunk_id, quality, toxic, source || ' ' || lang AS keywords, content || chr(10) || 'Q: ' || source AS embedding_text FROM ({CHUNKS}) c JOIN documents d USING (doc_id) LEFT JOIN labels l ON l.doc_id = c.doc_id")
 def _(spark, d):
     named = chunks(spark, d).join(docs(spark, d).select("doc_id", "source", "lang"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")

@@ -12,14 +12,14 @@ from .text import NORM, TOK
 
 K = 10
 HITS = f"SELECT r.query_id, r.rank + 1 AS pos, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS rel FROM (SELECT *, {RANK} AS rank FROM ({DENSE}) WHERE id <> query_id) r JOIN embeddings a ON a.vec_id = r.query_id JOIN embeddings b ON b.vec_id = r.id WHERE rank < {K}"
-RELEVANT = "SELECT a.vec_id AS query_id, count(*) - 1 AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 5 GROUP BY 1"
+RELEVANT = "SELECT a.vec_id AS query_id, count(*) - 1 AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 GROUP BY 1"
 
 
 def judged(spark, d):
     """The first K results of each query with their relevance (same label), and how many items are relevant."""
     label = items(spark, d).select("id", "label")
     top = R.ranked(dense(spark, d).filter("id <> query_id"), "score", K).join(label, "id")
-    own = label.filter("id < 5").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
+    own = label.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
     n = label.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("n"))
     return top.join(F.broadcast(own.join(n, "wanted")), "query_id").select("query_id", (F.col("rank") + 1).alias("pos"), (F.col("label") == F.col("wanted")).cast("int").alias("rel"), "n")
 

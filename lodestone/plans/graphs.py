@@ -128,22 +128,3 @@ def _(spark, d):
     counted = each.groupBy("type").agg(F.count("*").alias("n"))
     shown = each.withColumn("rn", first).filter("rn <= 5").groupBy("type").agg(F.array_join(F.array_sort(F.collect_list("norm")), ",").alias("examples"))
     return counted.join(shown, "type")
-
-
-@query("xd2_supersedes", "SELECT a.doc_id AS newer, b.doc_id AS older FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND a.n_chars = b.n_chars + 1")
-def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
-    older = docs.select(F.col("doc_id").alias("older"), "source", "lang", (F.col("n_chars") + 1).alias("n_chars"))
-    return docs.join(older, ["source", "lang", "n_chars"]).select(F.col("doc_id").alias("newer"), "older")
-
-
-@query("tg5_paths", f"WITH RECURSIVE p(node, hops) AS (SELECT 'customer:5', 0 UNION SELECT e.tgt, p.hops + 1 FROM p JOIN ({EDGES}) e ON e.src = p.node WHERE p.hops < 4) SELECT node, min(hops) AS hops FROM p GROUP BY node")
-def _(spark, d):
-    """Breadth first, at most four hops; each step joins the last step's nodes only."""
-    e = edges(spark, d)
-    step = spark.createDataFrame([("customer:5", 0)], "node string, hops int")
-    seen = step
-    for hop in range(1, 5):
-        step = step.join(e, F.col("node") == F.col("src")).select(F.col("tgt").alias("node"), F.lit(hop).alias("hops")).distinct()
-        seen = seen.union(step)
-    return seen.groupBy("node").agg(F.min("hops").alias("hops"))

@@ -44,7 +44,6 @@ _over_docs("tx1_normalize", NORM.format("text") + " AS norm", lambda c: dict(nor
 _over_docs("tx2_tokenize", f"CAST(len({TOK.format('text')}) AS INT) AS n_tokens", lambda c: dict(n_tokens=F.size(T.tokenize(c))))
 _over_docs("tx5_numbering_depth", r"CASE WHEN regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1) = '' THEN 0 ELSE CAST(len(string_split(regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1), '.')) AS INT) END AS depth", lambda c: dict(depth=T.numbering_depth(c)))
 _over_docs("tx10_token_estimate", "CAST(length(text) // 4 AS BIGINT) AS est", lambda c: dict(est=T.token_estimate(c)))
-_over_docs("tx13_head_tail", "CASE WHEN length(text) <= 1500 THEN text ELSE left(text, 900) || chr(10) || '... [' || CAST(length(text) - 900 - 525 AS VARCHAR) || ' chars omitted] ...' || chr(10) || right(text, 525) END AS summary", lambda c: dict(summary=T.head_tail(c, 1500)))
 _over_docs("tx14_display_name", "replace('doc_' || source || '_' || lang, '_', ' ') AS name, '18/1997 Sb.' AS law", lambda c: dict(name=T.display_name(F.concat_ws("_", F.lit("doc"), "source", "lang")), law=T.display_name(F.lit("Sb_1997_18_2017-01-01_IZ"))))
 _over_docs("tx15_group_id", r"regexp_replace(regexp_replace(regexp_replace(source || ' / ' || lang || '!', '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS gid", lambda c: dict(gid=T.group_id(F.concat("source", F.lit(" / "), "lang", F.lit("!")))))
 _over_docs("tx17_acronyms", r"CAST(len(list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,}')))) AS INT) AS n_acronyms", lambda c: dict(n_acronyms=F.size(T.acronyms(c))))
@@ -58,11 +57,6 @@ _over_docs("tx23_answer", r"CASE WHEN doc_id % 2 = 0 THEN trim(source) ELSE trim
 _over_docs("tx6_list_style", r"CASE WHEN regexp_matches(trim(text), '^\d+\.') THEN 'decimal_dot' WHEN regexp_matches(trim(text), '^\d+\)') THEN 'decimal_paren' WHEN regexp_matches(trim(text), '^[a-z]\)') THEN 'alpha_paren' WHEN regexp_matches(trim(text), '^[ivxlcdm]+\.') THEN 'roman_dot' WHEN regexp_matches(trim(text), '^[•*-]') THEN 'bullet' ELSE 'none' END AS style", lambda c: dict(style=T.list_style(c)))
 
 
-@query("tx12_truncate_word")
-def _(spark, d):
-    return docs(spark, d).select("doc_id", T.truncate_at_word(F.col("text"), 30).alias("short"))
-
-
 @query("tx16_legal_references", r"SELECT doc_id, array_to_string(regexp_extract_all('zákon č. ' || CAST(doc_id AS VARCHAR) || '/1997 Sb. a ' || CAST(doc_id + 1 AS VARCHAR) || '/2016 Sb.', '\d+/\d{4} Sb\.'), ';') AS refs FROM documents")
 def _(spark, d):
     ids = F.col("doc_id")
@@ -104,9 +98,9 @@ def _(spark, d):
     return sections(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_sections"), (F.max("pos") == 0).alias("flat"))
 
 
-@query("ch5_summary_input", f"SELECT doc_id, string_agg('- ' || left(content, 40), chr(10) ORDER BY pos) AS bullets FROM ({CHUNKS}) GROUP BY doc_id")
+@query("ch5_summary_input", f"SELECT doc_id, string_agg('- ' || content, chr(10) ORDER BY pos) AS bullets FROM ({CHUNKS}) GROUP BY doc_id")
 def _(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), F.substring("content", 1, 40)).alias("line"))))
+    lines = F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "content").alias("line"))))
     return chunks(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("bullets"))
 
 
@@ -138,11 +132,17 @@ def _(spark, d):
     return docs(spark, d).groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
 
 
-@query("so4_dedup_sections", f"SELECT doc_id, content, pos, last_pos FROM (SELECT doc_id, content, pos, max(pos) OVER (PARTITION BY doc_id, left(content, 10)) AS last_pos, row_number() OVER (PARTITION BY doc_id, left(content, 10) ORDER BY length(content) DESC, pos) AS rn FROM ({SECTIONS})) WHERE rn = 1")
+PATHS = f"SELECT *, CASE WHEN trim(content) = '' THEN '' ELSE CAST(length(content) % 7 AS VARCHAR) || '.' || CAST(pos % 12 AS VARCHAR) END AS path FROM ({SECTIONS})"
+
+
+@query("so4_dedup_sections", f"WITH g AS (SELECT *, max(pos) OVER (PARTITION BY doc_id, path) AS last_page, row_number() OVER (PARTITION BY doc_id, path ORDER BY length(content) DESC, pos) AS rn FROM ({PATHS})) SELECT doc_id, path, content, last_page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN path = '' THEN -1 ELSE CAST(string_split(path, '.')[1] AS INT) END, CASE WHEN path = '' THEN -1 ELSE CAST(string_split(path, '.')[2] AS INT) END) AS INT) AS number FROM g WHERE rn = 1")
 def _(spark, d):
-    group = W.partitionBy("doc_id", F.substring("content", 1, 10))
-    kept = sections(spark, d).withColumns({"last_pos": F.max("pos").over(group), "rn": F.row_number().over(group.orderBy(F.length("content").desc(), "pos"))})
-    return kept.filter("rn = 1").select("doc_id", "content", "pos", "last_pos")
+    """One section a path: the longest content with the last page, in the natural order of paths, numbered anew; those without a path are one."""
+    path = F.when(F.trim("content") == "", "").otherwise(F.concat_ws(".", (F.length("content") % 7).cast("string"), (F.col("pos") % 12).cast("string")))
+    group = W.partitionBy("doc_id", "path")
+    kept = sections(spark, d).withColumn("path", path).withColumns({"last_page": F.max("pos").over(group), "rn": F.row_number().over(group.orderBy(F.length("content").desc(), "pos"))}).filter("rn = 1")
+    natural = F.transform(F.filter(F.split("path", r"\."), lambda x: x != ""), lambda x: x.cast("int"))
+    return kept.select("doc_id", "path", "content", "last_page", F.row_number().over(W.partitionBy("doc_id").orderBy(natural)).alias("number"))
 
 
 @query("lb1_label_propagation", f"SELECT chunk_id, l.quality AS quality, l.toxic AS toxic FROM ({CHUNKS}) c JOIN labels l ON l.doc_id = c.doc_id")
