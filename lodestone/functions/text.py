@@ -142,13 +142,26 @@ def breadcrumb(title: Column, path: Column, section: Column) -> Column:
     return F.concat_ws(" > ", F.nullif(title, F.lit("")), F.nullif(path, F.lit("")), F.nullif(last, F.lit("")))
 
 
+# How items are marked, in the order in which the marks are tried.
+STYLES = ((r"^\d+\.", "decimal_dot"), (r"^[a-z]\)", "alpha_paren"), (r"^\([a-z]\)", "paren_alpha_paren"), (r"^\(\d+\)", "paren_decimal_paren"), (r"^[A-Z]\.", "upper_alpha_dot"))
+
+
 def list_style(text: Column) -> Column:
     """TX6: how an item is marked."""
-    t = F.trim(text)
-    return (
-        F.when(t.rlike(r"^\d+\."), "decimal_dot").when(t.rlike(r"^\d+\)"), "decimal_paren").when(t.rlike(r"^[a-z]\)"), "alpha_paren")
-        .when(t.rlike(r"^[ivxlcdm]+\."), "roman_dot").when(t.rlike(r"^[•*-]"), "bullet").otherwise("none")
-    )
+    t = F.regexp_replace(text, r"^\s+", "")
+    return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for p, name in STYLES], F.lit("unknown"))
+
+
+# Words that open a heading, and the kind that each names.
+MARKERS = {"§": "section", "section": "section", "article": "article", "článek": "article", "čl": "article", "chapter": "chapter", "hlava": "chapter", "part": "part", "část": "part", "oddíl": "division", "díl": "division", "zakon": "law", "zákon": "law"}
+
+
+def heading_signature(text: Column) -> Column:
+    """TX4: the kind of the marker word that a heading starts with, else numbered or lettered, else its first 20 characters."""
+    low = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    first = F.regexp_extract(low, r"^(\S+)", 1)
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv]), F.regexp_replace(first, r"[^\p{L}\p{N}_§]", ""))
+    return F.when(low == "", "").otherwise(F.coalesce(kind, F.when(first.rlike(r"^[\d.]+$"), "numbered_item"), F.when(first.rlike(r"^[a-z]\)$"), "lettered_item"), F.substring(low, 1, 20)))
 
 
 # Letters that take a caron, and two spellings that scans get wrong.

@@ -22,14 +22,6 @@ def _(spark, d):
     return table(spark, d, "embeddings").groupBy(F.col("label").alias("layer")).agg(n(), F.countDistinct(F.col("vec_id") % 50).alias("n_docs"))
 
 
-@query("ag5_dashboard", "SELECT (SELECT CAST(count(*) AS BIGINT) FROM customer) AS n_users, (SELECT CAST(count(*) AS BIGINT) FROM customer WHERE c_acctbal > 0) AS n_active, CAST(count(DISTINCT conv_id) AS BIGINT) AS n_conversations, CAST(count(*) AS BIGINT) AS n_messages, round(count(*) / CASE WHEN count(DISTINCT conv_id) = 0 THEN 1 ELSE count(DISTINCT conv_id) END, 6) AS per_conversation FROM conversations")
-def _(spark, d):
-    users = customer(spark, d).agg(F.count("*").alias("n_users"), F.count_if(F.col("c_acctbal") > 0).alias("n_active"))
-    talks = F.countDistinct("conv_id")
-    messages = conversations(spark, d).agg(talks.alias("n_conversations"), F.count("*").alias("n_messages"), r6(F.count("*") / F.greatest(talks, F.lit(1))).alias("per_conversation"))
-    return users.join(messages)
-
-
 @query("ag6_cost_by_operation", "SELECT event_type AS operation, round(sum(value), 4) AS cost, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
 def _(spark, d):
     return events(spark, d).groupBy(F.col("event_type").alias("operation")).agg(F.round(F.sum("value"), 4).alias("cost"), n())
@@ -178,12 +170,6 @@ def _(spark, d):
     return total.select("event_id", "user_id", F.round(F.col("total") - F.lag("total", 1, 0.0).over(by), 4).alias("delta"))
 
 
-@query("pf15_early_stop", "SELECT event_id, sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS stop FROM events")
-def _(spark, d):
-    last = W.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, 0)
-    return events(spark, d).select("event_id", (F.sum(F.when(F.col("value") < 20, 1).otherwise(0)).over(last) >= 2).alias("stop"))
-
-
 @query("tk2_top_per_document", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn FROM lineitem) WHERE rn <= 2")
 def _(spark, d):
     rank = F.row_number().over(W.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber"))
@@ -251,11 +237,6 @@ def _(spark, d):
     return kept.union(orders(spark, d).join(known, "o_custkey", "left_anti").select("o_orderkey", F.lit(False)))
 
 
-@query("js1_json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-def _(spark, d):
-    return events(spark, d).select("event_id", F.get_json_object("props", "$.k").alias("k")).filter("k IS NOT NULL")
-
-
 @query("so1_union_distinct", "SELECT user_id, CAST(len(list_distinct(list(event_type))) AS INT) AS n FROM events GROUP BY user_id")
 def _(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.size(F.collect_set("event_type")).alias("n"))
@@ -300,18 +281,6 @@ def _(spark, d):
     return customer(spark, d).join(new, "c_custkey", "left").select("c_custkey", F.coalesce("new", "c_mktsegment").alias("segment"))
 
 
-@query("rd1_reducers", "SELECT user_id, arg_min(event_type, event_id) AS keep_first, round(max(value), 6) AS take_max, bool_or(event_type = 'purchase') AS any_purchase, round(sum(value), 4) AS total FROM events GROUP BY user_id")
-def _(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("keep_first"), r6(F.max("value")).alias("take_max"), F.bool_or(F.col("event_type") == "purchase").alias("any_purchase"), F.round(F.sum("value"), 4).alias("total"))
-
-
-@query("rt1_complexity", "SELECT conv_id, turn, least(100, least(30, length(text) // 10) + least(20, 5 * (length(text) - length(replace(text, ',', '')))) + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN 10 ELSE 0 END) AS score FROM conversations")
-def _(spark, d):
-    count = lambda x: F.length("text") - F.length(F.replace("text", F.lit(x), F.lit("")))
-    score = F.least(F.lit(30), F.floor(F.length("text") / 10)) + F.least(F.lit(20), 5 * count(",")) + F.when(count("?") > 1, 10).otherwise(0)
-    return conversations(spark, d).select("conv_id", "turn", F.least(F.lit(100), score).alias("score"))
-
-
 @query("tg3_as_of_facts", "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate AS valid_at, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS invalid_at FROM orders) WHERE valid_at <= TIMESTAMP '1996-01-01' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1996-01-01')")
 def _(spark, d):
     at = F.lit("1996-01-01").cast("timestamp")

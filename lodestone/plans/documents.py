@@ -51,12 +51,6 @@ def _(spark, d):
 # Text
 
 
-@query("tx4_heading_signature", r"SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(content, '^\d+(\.\d+)*') THEN 'numbered' WHEN regexp_matches(content, '^[a-z]\)') THEN 'lettered' ELSE left(content, 20) END AS signature FROM (" + SECTIONS + ")")
-def _(spark, d):
-    signature = F.when(F.col("content").rlike(r"^\d+(\.\d+)*"), "numbered").when(F.col("content").rlike(r"^[a-z]\)"), "lettered").otherwise(F.substring("content", 1, 20))
-    return sections(spark, d).select("doc_id", "pos", signature.alias("signature"))
-
-
 @query("tx21_tsquery_sanitiser", r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[&|!():*<>''\\]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM conversations")
 def _(spark, d):
     plain = F.regexp_replace(F.regexp_replace("text", r"[&|!():*<>'\\]", " "), " +", " ")
@@ -85,13 +79,6 @@ def _(spark, d):
     return table(spark, d, "customer").filter(F.col("c_name").startswith("Customer#0000000") | (F.col("c_name") == "Customer#1")).select("c_custkey")
 
 
-@query("pf14_citation_validity", "SELECT user_id, CAST(len(list_distinct(list_filter(list(event_id % 20), lambda x: x > 14))) AS INT) AS n_unknown FROM events GROUP BY user_id")
-def _(spark, d):
-    used = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 20).alias("used"))
-    available = F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))
-    return used.select("user_id", F.size(F.array_except("used", available)).alias("n_unknown"))
-
-
 # Aggregates and windows
 
 
@@ -197,14 +184,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(value, 5).alias("agreement"))
 
 
-@query("fm1_result_score", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END, 0.0), nullif(CAST(event_id % 2 AS DOUBLE), 0.0), 0.5) AS score FROM events")
-def _(spark, d):
-    """The first score that is neither missing nor zero."""
-    e = F.col("event_id")
-    rerank = F.when(e % 3 == 0, 0.0).otherwise(F.col("value"))
-    return table(spark, d, "events").select("event_id", F.coalesce(F.nullif(rerank, F.lit(0.0)), F.nullif((e % 2).cast("double"), F.lit(0.0)), F.lit(0.5)).alias("score"))
-
-
 @query("fm2_citation", "SELECT doc_id, '[' || source || ']' AS inline, source || ', ' || lang || ', p. ' || CAST(doc_id % 9 AS VARCHAR) AS detailed, '[' || CAST(doc_id AS VARCHAR) || '] ' || source AS footnote FROM documents")
 def _(spark, d):
     page = (F.col("doc_id") % 9).cast("string")
@@ -244,12 +223,6 @@ def _(spark, d):
 # Graph, definitions, labels
 
 
-@query("kg7_mention_boost", "SELECT l_orderkey, round(max(l_discount) + CASE WHEN bool_or(l_suppkey IN (1, 2)) THEN 0.3 ELSE 0 END, 6) AS score FROM lineitem GROUP BY l_orderkey")
-def _(spark, d):
-    boost = F.when(F.bool_or(F.col("l_suppkey").isin(1, 2)), 0.3).otherwise(0.0)
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(r6(F.max("l_discount") + boost).alias("score"))
-
-
 @query("kg8_centrality_boost", "WITH g AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_suppkey), c AS (SELECT l_suppkey, n / (SELECT max(n) FROM g) AS c FROM g) SELECT l_orderkey, round(max(l_discount) + 0.15 * max(c), 6) AS score FROM lineitem JOIN c USING (l_suppkey) GROUP BY l_orderkey")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
@@ -263,13 +236,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("n_chunks"), F.max("l_quantity").alias("confidence"))
 
 
-@query("ed2_alias_map", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' WHEN 'AUTOMOBILE' THEN 'VEHICLES' ELSE c_mktsegment END AS canonical FROM customer")
-def _(spark, d):
-    aliases = spark.createDataFrame([("BUILDING", "CONSTRUCTION"), ("AUTOMOBILE", "VEHICLES")], "c_mktsegment string, canonical string")
-    joined = table(spark, d, "customer").join(F.broadcast(aliases), "c_mktsegment", "left")
-    return joined.select("c_custkey", F.coalesce("canonical", "c_mktsegment").alias("canonical"))
-
-
 @query("ed10_coverage", "SELECT round(avg(n), 6) AS per_entity, round(100.0 * count(*) FILTER (WHERE n > 1) / count(*), 6) AS cross_document FROM (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey)")
 def _(spark, d):
     each = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))

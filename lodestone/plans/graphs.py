@@ -46,12 +46,6 @@ def _(spark, d):
     return degree.join(F.broadcast(most)).select("id", F.round(F.col("n") / F.col("most"), 6).alias("centrality"))
 
 
-@query("kg4_two_hops", f"SELECT a.src AS src, b.tgt AS tgt FROM ({EDGES}) a JOIN ({EDGES}) b ON a.tgt = b.src")
-def _(spark, d):
-    a = edges(spark, d).select("src", F.col("tgt").alias("mid"))
-    return a.join(edges(spark, d).select(F.col("src").alias("mid"), "tgt"), "mid").select("src", "tgt")
-
-
 @query("kg5_graph_stats", f"SELECT type, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS mean_confidence FROM ({ENTITIES}) GROUP BY type")
 def _(spark, d):
     return entities(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
@@ -64,33 +58,17 @@ def _(spark, d):
     return both.groupBy("id").agg(F.count_if(F.col("side") == "out").alias("n_out"), F.count_if(F.col("side") == "in").alias("n_in"))
 
 
-@query("kg14_single_edge", f"SELECT src, tgt, max(rel) AS rel FROM ({EDGES}) GROUP BY ALL")
-def _(spark, d):
-    return edges(spark, d).groupBy("src", "tgt").agg(F.max("rel").alias("rel"))
-
-
 @query("kg15_constraints", f"SELECT id, trim(value) <> '' AND confidence BETWEEN 0 AND 1 AND (type <> 'part' OR length(value) >= 10) AS valid FROM ({ENTITIES})")
 def _(spark, d):
     valid = (F.trim("value") != "") & F.col("confidence").between(0, 1) & ((F.col("type") != "part") | (F.length("value") >= 10))
     return entities(spark, d).select("id", valid.alias("valid"))
 
 
-@query("kg12_cleanup", f"SELECT rel, src, tgt FROM ({EDGES}) WHERE src <> tgt AND src IN (SELECT id FROM ({ENTITIES}) WHERE confidence >= 0.6)")
-def _(spark, d):
-    known = entities(spark, d).filter("confidence >= 0.6").select(F.col("id").alias("src"))
-    return edges(spark, d).filter("src <> tgt").join(known, "src", "left_semi").select("rel", "src", "tgt")
-
-
 @query("ed1_exact_dedup", f"SELECT type, norm, min(id) AS canonical, CAST(count(*) AS BIGINT) AS n FROM ({ENTITIES}) GROUP BY ALL")
 def _(spark, d):
     return entities(spark, d).groupBy("type", "norm").agg(F.min("id").alias("canonical"), F.count("*").alias("n"))
 
 
-@query("ed6_property_merge", f"SELECT type, norm, max(confidence) AS confidence, array_to_string(list_sort(list(id)), ',') AS merged_from FROM ({ENTITIES}) GROUP BY ALL")
-def _(spark, d):
-    return entities(spark, d).groupBy("type", "norm").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("merged_from"))
-
-
 @query("ed7_j12_edge_remap", f"WITH m AS (SELECT id, min(id) OVER (PARTITION BY type, norm) AS c FROM ({ENTITIES})) SELECT rel, a.c AS src, b.c AS tgt FROM ({EDGES}) e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.tgt")
 def _(spark, d):
     m = entities(spark, d).select("id", F.min("id").over(W.partitionBy("type", "norm")).alias("c"))
@@ -98,12 +76,6 @@ def _(spark, d):
     return edges(spark, d).join(a, "src").join(b, "tgt").select("rel", F.col("s").alias("src"), F.col("t").alias("tgt"))
 
 
-@query("ed8_edge_dedup", f"SELECT src, tgt, rel, CAST(count(*) AS BIGINT) AS n FROM (SELECT src, tgt, rel FROM ({EDGES}) UNION ALL SELECT src, tgt, rel FROM ({EDGES}) WHERE rel = 'lives_in') GROUP BY ALL")
-def _(spark, d):
-    e = edges(spark, d).select("src", "tgt", "rel")
-    return e.union(e.filter("rel = 'lives_in'")).groupBy("src", "tgt", "rel").agg(F.count("*").alias("n"))
-
-
 @query("ed12_layer_stats", f"SELECT CASE WHEN n > 1 THEN 'exact' ELSE 'new' END AS layer, CAST(count(*) AS BIGINT) AS n FROM (SELECT type, norm, count(*) AS n FROM ({ENTITIES}) GROUP BY ALL) GROUP BY 1")
 def _(spark, d):
     each = entities(spark, d).groupBy("type", "norm").agg(F.count("*").alias("n"))

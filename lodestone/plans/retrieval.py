@@ -147,12 +147,6 @@ def _(spark, d):
     return dense(spark, d).filter("score >= 0.3")
 
 
-@query("pf1_metadata_filter", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3') AND quality >= 1 AND toxic = 0")
-def _(spark, d):
-    kept = table(spark, d, "documents").filter((F.col("lang") == "en") & F.col("source").isin("src1", "src2", "src3")).select("doc_id")
-    return kept.join(table(spark, d, "labels").filter("quality >= 1 AND toxic = 0"), "doc_id").select("doc_id")
-
-
 @query("pf2_document_filter", "SELECT vec_id, label FROM embeddings WHERE label = 3")
 def _(spark, d):
     return table(spark, d, "embeddings").filter("label = 3").select("vec_id", "label")

@@ -54,14 +54,6 @@ _over_docs("tx30_json_tokens", "greatest(1, CAST(ceil(length(text) / 4) AS BIGIN
 _over_docs("tx8_breadcrumb", "'[' || source || ' > ' || lang || ']' || chr(10) || chr(10) || text AS embedding_text", lambda c: dict(embedding_text=F.concat(F.lit("["), T.breadcrumb(F.col("source"), F.col("lang"), F.col("lang")), F.lit("]\n\n"), c)))
 _over_docs("tx22_citations", r"CAST(len(list_distinct(regexp_extract_all('see \cite{' || source || '} and \cite{' || lang || '} \cite{' || lang || '}', '\\cite\{([^}]+)\}', 1))) AS INT) AS n", lambda c: dict(n=F.size(T.citations(F.concat(F.lit("see \\cite{"), "source", F.lit("} and \\cite{"), "lang", F.lit("} \\cite{"), "lang", F.lit("}"))))))
 _over_docs("tx23_answer", r"CASE WHEN doc_id % 2 = 0 THEN trim(source) ELSE trim(lang || ' none') END AS answer", lambda c: dict(answer=T.answer(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <ANSWER> "), "source", F.lit(" </ANSWER> y"))).otherwise(F.concat("lang", F.lit(" none "))))))
-_over_docs("tx6_list_style", r"CASE WHEN regexp_matches(trim(text), '^\d+\.') THEN 'decimal_dot' WHEN regexp_matches(trim(text), '^\d+\)') THEN 'decimal_paren' WHEN regexp_matches(trim(text), '^[a-z]\)') THEN 'alpha_paren' WHEN regexp_matches(trim(text), '^[ivxlcdm]+\.') THEN 'roman_dot' WHEN regexp_matches(trim(text), '^[•*-]') THEN 'bullet' ELSE 'none' END AS style", lambda c: dict(style=T.list_style(c)))
-
-
-@query("tx16_legal_references", r"SELECT doc_id, array_to_string(regexp_extract_all('zákon č. ' || CAST(doc_id AS VARCHAR) || '/1997 Sb. a ' || CAST(doc_id + 1 AS VARCHAR) || '/2016 Sb.', '\d+/\d{4} Sb\.'), ';') AS refs FROM documents")
-def _(spark, d):
-    ids = F.col("doc_id")
-    text = F.concat(F.lit("zákon č. "), ids.cast("string"), F.lit("/1997 Sb. a "), (ids + 1).cast("string"), F.lit("/2016 Sb."))
-    return docs(spark, d).select("doc_id", F.array_join(F.regexp_extract_all(text, F.lit(r"\d+/\d{4} Sb\."), F.lit(0)), ";").alias("refs"))
 
 
 @query("sc1_source_gate", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.(html?|txt|pdf|docx|pptx|xlsx)([?#].*)?$') THEN regexp_extract(lower(url), '\\.(html?|txt|pdf|docx|pptx|xlsx)([?#].*)?$', 1) ELSE 'unsupported' END AS kind FROM pages")
@@ -116,12 +108,6 @@ def _(spark, d):
     return chunks(spark, d).agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_size"), F.min(size).alias("min_size"), F.max(size).alias("max_size"))
 
 
-@query("pf9_kg_worthy", f"SELECT chunk_id FROM (SELECT chunk_id, content, row_number() OVER (PARTITION BY md5(content) ORDER BY doc_id, pos) AS rn FROM ({CHUNKS})) WHERE rn = 1 AND length(content) >= 100")
-def _(spark, d):
-    first = F.row_number().over(W.partitionBy(F.md5("content")).orderBy("doc_id", "pos"))
-    return chunks(spark, d).withColumn("rn", first).filter("rn = 1 AND length(content) >= 100").select("chunk_id")
-
-
 @query("pf13_null_audit", "SELECT CAST(count(*) FILTER (WHERE text IS NULL) AS BIGINT) AS null_text, CAST(count(*) FILTER (WHERE length(text) < 50) AS BIGINT) AS short_text, CAST(count(*) FILTER (WHERE n_chars IS NULL) AS BIGINT) AS null_chars FROM documents")
 def _(spark, d):
     return docs(spark, d).agg(F.count_if(F.col("text").isNull()).alias("null_text"), F.count_if(F.length("text") < 50).alias("short_text"), F.count_if(F.col("n_chars").isNull()).alias("null_chars"))
