@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontaminate, html_text, jaccard_join, licenses, mixing, pii, quality_ranking, quality_rules, sharding, token_counts
+from lodestone.llm import components, decontaminate, html_text, jaccard_join, licenses, mixing, pii, quality_ranking, quality_rules, queries, sharding, token_counts
 from lodestone.llm.components import connected_components, merged
 from lodestone.llm.jaccard_join import first_of_groups, jaccard_components
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string, size string"
 PROSE = " ".join(f"word{i}" for i in range(60))
 
@@ -694,3 +695,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(kept["jaccard_join"]) - set(kept["decontamination"]) == {203}
     assert set(kept["mixing"]) <= set(kept["decontamination"]) and max(kept["mixing"].values()) <= 3
     assert kept["sharding"] == kept["mixing"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = con.execute(queries.ORACLE[name])
+    names = [x[0] for x in found.description]
+    ours = queries.queries()[name](spark, SF).select(names).collect()
+    assert Counter(map(tuple, ours)) == Counter(found.fetchall())
+
+
+def test_every_operator_has_its_query():
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
