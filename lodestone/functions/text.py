@@ -17,10 +17,13 @@ def tokenize(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalize(text), " "), lambda x: x != ""))
 
 
+#: Fixed value: a numbering, dots between or after its parts, up to white space or the end.
+NUMBERING = r"^\s*((?:[A-Za-z0-9]+\.)+[A-Za-z0-9]*)(?:\s|\z)"
+
+
 def numbering_depth(text: Column) -> Column:
-    """TX5: parts of a leading number such as ``1.2.3``; 0 without one."""
-    number = F.regexp_extract(F.trim(text), r"^(\d+(?:\.\d+)*)", 1)
-    return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
+    """TX5: parts of a leading numbering such as ``1.2.3``, ``1.`` or ``A.1``; 0 without one, so a bare ``5`` has none."""
+    return F.regexp_count(F.regexp_extract(text, NUMBERING, 1), F.lit("[A-Za-z0-9]+"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -42,7 +42,7 @@ def _over_docs(key, sql, columns):
 
 _over_docs("tx1_normalize", NORM.format("text") + " AS norm", lambda c: dict(norm=T.normalize(c)))
 _over_docs("tx2_tokenize", f"CAST(len({TOK.format('text')}) AS INT) AS n_tokens", lambda c: dict(n_tokens=F.size(T.tokenize(c))))
-_over_docs("tx5_numbering_depth", r"CASE WHEN regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1) = '' THEN 0 ELSE CAST(len(string_split(regexp_extract(trim(text), '^(\d+(?:\.\d+)*)', 1), '.')) AS INT) END AS depth", lambda c: dict(depth=T.numbering_depth(c)))
+_over_docs("tx5_numbering_depth", r"CAST(len(regexp_extract_all(regexp_extract(text, '^\s*((?:[A-Za-z0-9]+\.)+[A-Za-z0-9]*)(?:\s|\z)', 1), '[A-Za-z0-9]+')) AS INT) AS depth", lambda c: dict(depth=T.numbering_depth(c)))
 _over_docs("tx10_token_estimate", "CAST(length(text) // 4 AS BIGINT) AS est", lambda c: dict(est=T.token_estimate(c)))
 _over_docs("tx14_display_name", "replace('doc_' || source || '_' || lang, '_', ' ') AS name, '18/1997 Sb.' AS law", lambda c: dict(name=T.display_name(F.concat_ws("_", F.lit("doc"), "source", "lang")), law=T.display_name(F.lit("Sb_1997_18_2017-01-01_IZ"))))
 _over_docs("tx15_group_id", r"regexp_replace(regexp_replace(regexp_replace(source || ' / ' || lang || '!', '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS gid", lambda c: dict(gid=T.group_id(F.concat("source", F.lit(" / "), "lang", F.lit("!")))))

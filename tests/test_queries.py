@@ -60,6 +60,7 @@ def test_text(spark):
     assert one(spark, T.normalize(F.lit("  Čeština, 2x_y!  "))) == "čeština 2x_y"
     assert one(spark, T.tokenize(F.lit(""))) == []
     assert one(spark, T.numbering_depth(F.lit("1.2.3 Scope"))) == 3
+    assert [one(spark, T.numbering_depth(F.lit(x))) for x in ("1. Scope", " A.1 x", "1.2.", "5 apples", "1.2.x-y", "")] == [1, 2, 2, 0, 0, 0]
     assert one(spark, T.display_name(F.lit("Sb_1997_18_x"))) == "18/1997 Sb."
     assert one(spark, T.truncate_at_word(F.lit("one two three four"), 3)) == "one two three..."
     assert one(spark, T.acronyms(F.lit("EU a EU ČEZ UN"))) == ["EU", "UN"]
