@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import heading_signature, numbering_depth, repair_diacritics
+
 
 def paths(nodes: DataFrame, label: str = "id", glue: str = " > ") -> DataFrame:
     """HY4, TR2: ``id, path, ancestors, depth`` of every node that hangs from a root (``id, parent``; roots have no parent).
@@ -80,3 +82,56 @@ CONTENTS = r"(?i)(table of contents|contents|obsah|seznam|content)"
 def contents_page(pages: DataFrame) -> DataFrame:
     """HY9: of each document the first page (``doc_id, page, text``) that names a table of contents in its first 500 characters."""
     return pages.filter(F.substring("text", 1, 500).rlike(CONTENTS)).groupBy("doc_id").agg(F.min("page").alias("page"))
+
+
+def _bands(zones: DataFrame) -> DataFrame:
+    """``doc_id, __heads, __feet``: disjoint intervals that the zones (``doc_id, category, lo, hi``) of a document cover.
+
+    Zones are ten pixels high at least, so a document has no more intervals than its page has room for.
+    """
+    order = W.partitionBy("doc_id", "category").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = zones.distinct().withColumn("opens", F.when(reach >= F.col("lo"), 0).otherwise(1))
+    rows = rows.withColumn("band", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    bands = rows.groupBy("doc_id", "category", "band").agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("at"))
+    return bands.groupBy("doc_id").agg(*[F.collect_list(F.when(F.col("category") == c, F.col("at"))).alias(n) for c, n in (("Header", "__heads"), ("Footer", "__feet"))])
+
+
+def reclassified(elements: DataFrame) -> DataFrame:
+    """HY1: ``elements`` (``doc_id, category, text, font_size, x, y_min, y_max, page_height``) with uncategorised texts judged anew.
+
+    In this order: a header or footer by a text that one of its document has, by lying within five pixels
+    of one's zone, a title by its size, marks and left edge, a header or footer by a margin and its size.
+    Missing numbers count as 0; elements of other categories, or without a document, stay as they are.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = elements.withColumns({"__size": number("font_size"), "__x": number("x"), "__top": number("y_min"), "__low": number("y_max"), "__high": number("page_height"), "__text": strip(F.coalesce("text", F.lit("")))})
+    rows = rows.withColumn("__same", F.lower(strip(repair_diacritics(F.col("__text")))))
+    size, top, high, text = F.col("__size"), F.col("__top"), F.col("__high"), F.col("__text")
+    edge = F.col("category").isin("Header", "Footer")
+    sized = (F.col("category") == "Title") & (size > 0)
+    means = rows.groupBy("doc_id").agg(F.avg(F.when(sized, size)).alias("__title"), F.avg(F.when(sized, F.col("__x"))).alias("__left"), F.avg(F.when(edge & (size > 0), size)).alias("__edge"))
+    known = rows.filter(edge & (F.col("__same") != "")).select("doc_id", "__same").distinct().withColumn("__known", F.lit(True))
+    bands = _bands(rows.filter(edge & (F.col("__low") > 0)).select("doc_id", "category", (top - 5).alias("lo"), (F.col("__low") + 5).alias("hi")))
+    rows = rows.join(means, "doc_id", "left").join(bands, "doc_id", "left").join(known, ["doc_id", "__same"], "left")
+
+    middle = (top + F.col("__low")) / 2
+    within = lambda c: F.exists(c, lambda b: middle.between(b["lo"], b["hi"]))
+    title, left = F.col("__title"), F.col("__left")
+    # Tenths: size 5, marks 3, left edge 2.
+    large = F.when(size > title - 1.5, 5).otherwise(0)
+    marked = F.when((heading_signature(text) != F.substring(text, 1, 20)) | (numbering_depth(text) > 0), 3).otherwise(0)
+    aligned = F.when((left > 0) & (F.abs(F.col("__x") - left) < 50), 2).otherwise(0)
+    small = F.coalesce(F.abs(size - F.col("__edge")) < 1.5, F.lit(False)) | F.coalesce(size < title * 0.8, F.lit(False))
+    kind = (
+        F.when(F.col("__known"), F.when((high > 0) & (top < high / 2), "Header").otherwise("Footer"))
+        .when(within("__heads"), "Header")
+        .when(within("__feet"), "Footer")
+        .when(large + marked + aligned >= 5, "Title")
+        .when((high > 0) & small & (top < high * 0.1), "Header")
+        .when((high > 0) & small & (top > high * 0.9), "Footer")
+        .otherwise(F.col("category"))
+    )
+    rows = rows.withColumn("category", F.when(F.col("category") == "UncategorizedText", kind).otherwise(F.col("category")))
+    return rows.select(*elements.columns)

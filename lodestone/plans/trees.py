@@ -89,3 +89,29 @@ def _(spark, d):
 def _(spark, d):
     text = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Obsah: "), "text")).otherwise(F.concat(F.substring("text", 1, 490), F.lit(" table OF contents")))
     return hierarchy.contents_page(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), text.alias("text")))
+
+
+ELEMENTS = f"""SELECT l_orderkey AS doc_id, {PLACE} AS pos, CASE l_partkey % 8 WHEN 0 THEN 'Title' WHEN 1 THEN 'Header' WHEN 2 THEN 'Footer' ELSE 'UncategorizedText' END AS category,
+CASE l_partkey % 5 WHEN 0 THEN '1.2 Scope' WHEN 1 THEN 'page ' || l_suppkey ELSE 'some words ' || l_partkey END AS text,
+8.0 + l_suppkey % 7 AS font_size, l_partkey % 5 * 30.0 AS x, l_partkey % 83 * 10.0 AS y_min, l_partkey % 83 * 10.0 + 10 AS y_max, 842.0 AS page_height FROM lineitem"""
+
+
+@query(
+    "hy1_reclassified",
+    f"""WITH e AS ({ELEMENTS}),
+m AS (SELECT doc_id, avg(font_size) FILTER (category = 'Title') AS t, avg(x) FILTER (category = 'Title') AS l, avg(font_size) FILTER (category IN ('Header', 'Footer')) AS h FROM e GROUP BY doc_id),
+near AS (SELECT e.doc_id, e.pos, bool_or(z.text = e.text) AS same, bool_or(z.category = 'Header' AND (e.y_min + e.y_max) / 2 BETWEEN z.y_min - 5 AND z.y_max + 5) AS head,
+         bool_or(z.category = 'Footer' AND (e.y_min + e.y_max) / 2 BETWEEN z.y_min - 5 AND z.y_max + 5) AS foot FROM e JOIN e z ON z.doc_id = e.doc_id AND z.category IN ('Header', 'Footer') GROUP BY e.doc_id, e.pos),
+s AS (SELECT e.*, m.t, m.h, coalesce(same, false) AS same, coalesce(head, false) AS head, coalesce(foot, false) AS foot,
+         CASE WHEN abs(font_size - t) < 1.5 OR font_size > t THEN 0.5 ELSE 0 END + CASE WHEN text = '1.2 Scope' THEN 0.3 ELSE 0 END + CASE WHEN l > 0 AND abs(x - l) < 50 THEN 0.2 ELSE 0 END AS score
+      FROM e JOIN m USING (doc_id) LEFT JOIN near USING (doc_id, pos))
+SELECT doc_id, pos, CASE WHEN category <> 'UncategorizedText' THEN category WHEN same THEN CASE WHEN y_min < 421 THEN 'Header' ELSE 'Footer' END WHEN head THEN 'Header' WHEN foot THEN 'Footer' WHEN score >= 0.5 THEN 'Title'
+       WHEN (y_min < 84.2 OR y_min > 757.8) AND (coalesce(abs(font_size - h) < 1.5, false) OR coalesce(font_size < 0.8 * t, false)) THEN CASE WHEN y_min < 84.2 THEN 'Header' ELSE 'Footer' END ELSE category END AS category FROM s""",
+)
+def _(spark, d):
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    category = F.when(part % 8 == 0, "Title").when(part % 8 == 1, "Header").when(part % 8 == 2, "Footer").otherwise("UncategorizedText")
+    text = F.when(part % 5 == 0, "1.2 Scope").when(part % 5 == 1, F.concat(F.lit("page "), supplier)).otherwise(F.concat(F.lit("some words "), part))
+    y = part % 83 * 10.0
+    rows = placed(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("place").alias("pos"), category.alias("category"), text.alias("text"), (8.0 + supplier % 7).alias("font_size"), (part % 5 * 30.0).alias("x"), y.alias("y_min"), (y + 10).alias("y_max"), F.lit(842.0).alias("page_height"))
+    return hierarchy.reclassified(rows).select("doc_id", "pos", "category")

@@ -228,3 +228,35 @@ def test_unseen_rows_are_appended_once(spark, tmp_path):
     step(frame([2, 3]), 1)
     step(frame([3, 1]), 2)
     assert sorted(r.chunk_id for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [1, 2, 3]
+
+
+def test_uncategorised_elements_are_judged_anew(spark):
+    """By text, zone, score and margin in that order; nulls, repeated rows, an empty table and other columns."""
+    kinds = "doc_id int, pos int, category string, text string, font_size double, x double, y_min double, y_max double, page_height double, band int"
+    U = "UncategorizedText"
+    rows = [
+        (1, 0, "Title", "Opening", 14.0, 100.0, 100.0, 120.0, 800.0, 7),
+        (1, 1, "Header", "The Gazette", 8.0, 50.0, 10.0, 20.0, 800.0, 7),
+        (1, 2, "Header", "Other", 8.0, 50.0, 28.0, 40.0, 800.0, 7),
+        (1, 3, "Footer", "foot", 8.0, 50.0, 780.0, 790.0, 800.0, 7),
+        (1, 4, U, " the GAZETTE ", 14.0, 100.0, 500.0, 510.0, 800.0, 7),
+        (1, 5, U, "in between", 14.0, 100.0, 20.0, 28.0, 800.0, 7),
+        (1, 6, U, "low", 14.0, 100.0, 785.0, 795.0, 800.0, 7),
+        (1, 7, U, "closing", 13.0, 400.0, 300.0, 310.0, 800.0, 7),
+        (1, 8, U, "1.2 scope", 9.0, 120.0, 300.0, 310.0, 800.0, 7),
+        (1, 9, U, "plain text", 9.0, 120.0, 300.0, 310.0, 800.0, 7),
+        (1, 10, U, "a note", 9.0, 400.0, 60.0, 70.0, 800.0, 7),
+        (1, 11, U, "a note", 9.0, 400.0, 730.0, 735.0, 800.0, 7),
+        (1, 11, U, "a note", 9.0, 400.0, 730.0, 735.0, 800.0, 7),
+        (1, 12, U, None, None, None, None, None, None, None),
+        (2, 0, U, "The Gazette", 8.0, 50.0, 10.0, 20.0, 800.0, 7),
+        (None, 0, U, "1.2 scope", 8.0, 50.0, 10.0, 20.0, 800.0, 7),
+    ]
+    df = spark.createDataFrame(rows, kinds)
+    out = hierarchy.reclassified(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    got = {(r.doc_id, r.pos): r.category for r in out.collect()}
+    judged = ["Footer", "Header", "Footer", "Title", "Title", U, "Header", "Footer", U]
+    assert [got[1, i] for i in range(4, 13)] == judged
+    assert got[2, 0] == got[None, 0] == U
+    assert hierarchy.reclassified(df.limit(0)).count() == 0
