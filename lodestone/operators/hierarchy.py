@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.fuzzy import title_match
 from ..functions.text import heading_signature, numbering_depth, repair_diacritics
 
 
@@ -135,3 +136,48 @@ def reclassified(elements: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("category", F.when(F.col("category") == "UncategorizedText", kind).otherwise(F.col("category")))
     return rows.select(*elements.columns)
+
+
+def mapped(sections: DataFrame, elements: DataFrame, ahead: int = 2) -> DataFrame:
+    """HY6: ``doc_id, place, start, until, content``: the elements that belong to each section of an outline.
+
+    ``sections`` have ``doc_id, place, title, page`` in outline order, ``elements`` ``doc_id, pos, page,
+    category, text, font_size`` with ``pos`` from 0 without gaps and pages in order (null: page 1). A section
+    starts at the first element from the section's before on that has its title, on its page or up to
+    ``ahead`` later; else at the first such element of its page; else where the section before starts. It
+    ends where the next starts. Titles are compared within those pages only, and the fold over a document
+    sees positions, not texts. Sections of documents without elements are empty.
+    """
+    strip = lambda c: F.regexp_replace(repair_diacritics(F.coalesce(c, F.lit(""))), r"^\s+|\s+$", "")
+    rows = elements.select("doc_id", "pos", F.coalesce("page", F.lit(1)).alias("page"), "category", strip(F.col("text")).alias("text"), "font_size")
+    print_size = F.median(F.when(F.col("font_size") != 0, F.col("font_size")))
+    pages = rows.groupBy("doc_id", "page").agg(print_size.alias("median"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    outline = sections.select("doc_id", "place", "page", strip(F.col("title")).alias("title"))
+
+    reach = outline.filter("title <> ''").select("doc_id", "place", "title", F.explode(F.sequence("page", F.col("page") + ahead)).alias("page"))
+    near = reach.join(rows.filter("text <> ''"), ["doc_id", "page"]).join(pages.select("doc_id", "page", "median"), ["doc_id", "page"])
+    same = title_match(F.col("text"), F.col("title"), F.coalesce("category", F.lit("")), F.col("font_size"), F.col("median"))
+    hits = near.filter(same).groupBy("doc_id", "place").agg(F.collect_set("pos").alias("hits"))
+
+    known = outline.join(hits, ["doc_id", "place"], "left").join(pages.drop("median"), ["doc_id", "page"], "left")
+    held = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "hits", "first", "last"))).alias("held"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        titled = F.array_min(F.filter(s["hits"], lambda p: p >= acc["at"]))
+        paged = F.when(s["last"] >= acc["at"], F.greatest(s["first"], acc["at"]))
+        at = F.coalesce(titled, paged, acc["at"]).cast("long")
+        return F.struct(at.alias("at"), F.concat(acc["starts"], F.array(at)).alias("starts"))
+
+    starts = held.select("doc_id", F.explode(F.arrays_zip(F.col("held.place").alias("place"), F.aggregate("held", zero, step, lambda acc: acc["starts"]).alias("start"))).alias("s")).select("doc_id", "s.place", "s.start")
+    total = pages.groupBy("doc_id").agg((F.max("last") + 1).alias("total"))
+    following = F.lead("start").over(W.partitionBy("doc_id").orderBy("place"))
+    starts = starts.join(total, "doc_id", "left").select("doc_id", "place", "start", F.coalesce(following, F.col("total").cast("long"), F.col("start")).alias("until"))
+
+    # Of sections that start together the last one holds the elements.
+    marks = starts.filter("start < until").select("doc_id", F.col("start").alias("pos"), "place", F.lit(None).cast("string").alias("text"))
+    both = marks.unionByName(rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(None).cast(dict(marks.dtypes)["place"]).alias("place"), "text"))
+    order = W.partitionBy("doc_id").orderBy("pos", F.col("text").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    owned = both.withColumn("place", F.last("place", True).over(order)).filter("place IS NOT NULL AND text <> ''")
+    texts = owned.groupBy("doc_id", "place").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"], "\n\n").alias("content"))
+    return starts.join(texts, ["doc_id", "place"], "left").withColumn("content", F.coalesce("content", F.lit("")))

@@ -115,3 +115,11 @@ def _(spark, d):
     y = part % 83 * 10.0
     rows = placed(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("place").alias("pos"), category.alias("category"), text.alias("text"), (8.0 + supplier % 7).alias("font_size"), (part % 5 * 30.0).alias("x"), y.alias("y_min"), (y + 10).alias("y_max"), F.lit(842.0).alias("page_height"))
     return hierarchy.reclassified(rows).select("doc_id", "pos", "category")
+
+
+@query("hy6_mapped_sections")
+def _(spark, d):
+    """Lines of an order, two a page, under an outline that names every third part, up to two pages early."""
+    rows = placed(spark, d).select(F.col("l_orderkey").alias("doc_id"), (F.col("place") - 1).alias("pos"), F.floor((F.col("place") + 1) / 2).cast("int").alias("page"), F.lit("Title").alias("category"), F.concat(F.lit("Line "), F.col("l_partkey")).alias("text"), F.lit(10.0).alias("font_size"), "l_partkey", "l_suppkey")
+    outline = rows.filter("l_partkey % 3 = 0").select("doc_id", F.col("pos").alias("place"), F.lower("text").alias("title"), F.greatest(F.lit(1), F.col("page") - (F.col("l_suppkey") % 3).cast("int")).alias("page"))
+    return hierarchy.mapped(outline, rows)

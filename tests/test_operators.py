@@ -260,3 +260,36 @@ def test_uncategorised_elements_are_judged_anew(spark):
     assert [got[1, i] for i in range(4, 13)] == judged
     assert got[2, 0] == got[None, 0] == U
     assert hierarchy.reclassified(df.limit(0)).count() == 0
+
+
+def test_outline_mapped_against_a_loop(spark):
+    rng = random.Random(5)
+    words = ["Scope of work", "Terms", "General terms", "Payment of fees", "x", "Scope of werk", ""]
+    elements, outline, want = [], [], {}
+    for doc in range(40):
+        pages = sorted(rng.randint(1, 6) for _ in range(rng.choice([0, 3, 12, 20])))
+        body = [(doc, i, p, rng.choice(["Title", "Text"]), rng.choice(words), rng.choice([None, 8.0, 10.0, 12.0])) for i, p in enumerate(pages)]
+        plan = [(doc, i, rng.choice(words), rng.randint(1, 7)) for i in range(rng.randint(1, 6))]
+        elements, outline = elements + body, outline + plan
+
+        def fits(e, title):
+            a, b = e[4].lower(), title.lower()
+            if not a or not b or not (SequenceMatcher(None, a, b).ratio() > 0.85 or ((a in b or b in a) and len(a) > 5)):
+                return False
+            sizes = [x[5] for x in body if x[2] == e[2] and x[5]]
+            return e[3] == "Title" or not (e[5] and sizes and e[5] < 0.95 * float(np.median(sizes)))
+
+        at, starts = 0, []
+        for _, _, title, page in plan:
+            named = [e[1] for e in body if e[1] >= at and page <= e[2] <= page + 2 and fits(e, title)]
+            on_page = [e[1] for e in body if e[1] >= at and e[2] == page]
+            at = (named + on_page[:1] + [at])[0]
+            starts.append(at)
+        for i, a in enumerate(starts):
+            b = starts[i + 1] if i + 1 < len(starts) else len(body)
+            want[doc, i] = (a, b, "\n\n".join(e[4] for e in body[a:b] if e[4]))
+    e = spark.createDataFrame(elements, "doc_id int, pos int, page int, category string, text string, font_size double")
+    o = spark.createDataFrame(outline, "doc_id int, place int, title string, page int")
+    got = {(r.doc_id, r.place): (r.start, r.until, r.content) for r in hierarchy.mapped(o, e).collect()}
+    assert got == want
+    assert hierarchy.mapped(o.limit(0), e).count() == 0
