@@ -78,6 +78,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .rolling_median import cents, rolling_median
+
+    return rolling_median(table(spark, sf_dir, "clicks"), cents(F.col("value")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -124,4 +132,12 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DIST
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_rolling_median": """
+WITH r AS (SELECT click_id, kind, ts, CAST(floor(100 * value + 0.5) AS BIGINT) AS c FROM clicks WHERE ts IS NOT NULL),
+e AS (SELECT click_id, kind, ts, c FROM r QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, kind NULLS FIRST, c NULLS FIRST) = 1),
+w AS (SELECT click_id, kind, c, list_sort(coalesce(list(c) FILTER (c IS NOT NULL) OVER (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW), [])) AS l FROM e),
+m AS (SELECT *, CAST(len(l) AS BIGINT) AS n, CASE WHEN len(l) > 1 THEN l[(len(l) + 1) // 2] + l[len(l) // 2 + 1] END AS median2 FROM w),
+d AS (SELECT *, CASE WHEN n > 1 THEN list_sort(list_transform(l, lambda x: abs(2 * x - median2))) END AS g FROM m),
+s AS (SELECT *, CASE WHEN n > 1 THEN g[(n + 1) // 2] + g[n // 2 + 1] END AS mad4 FROM d)
+SELECT click_id, kind, n, median2, mad4, 2 * abs(2 * c - median2) > 3 * mad4 AS far FROM s""",
 }
