@@ -86,6 +86,14 @@ def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_median(table(spark, sf_dir, "clicks"), cents(F.col("value")))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .best_fit_packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
