@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .byte_bpe import encoder
 from .components import checkpoint_dir
 
 SIZE = 2048
@@ -31,21 +32,6 @@ SEED = 12
 LOOSE = 32  #: a sequence with more than a part in so many of its tokens left is packed anew
 TEXTS = 1 << 19  #: characters encoded at once
 
-_encoders: dict[str, object] = {}
-
-
-def encoder(name: str, config: str):
-    """The worker's tokenizer, built once."""
-    if name not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _encoders[name] = Tokenizer.from_str(config)
-    return _encoders[name]
-
-
 def text_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``TEXTS`` characters each."""
     first = held = 0
@@ -114,13 +100,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc
         held = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, held.value).encode_batch
+        encode = encoder(tokenizer, held.value).encode
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             for first, last in text_chunks(texts):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for at, found in enumerate(encode(texts[first:last], add_special_tokens=False), first):
-                    own = np.array([*found.ids, END], dtype="<u4")
+                for at, found in enumerate(encode(texts[first:last], True), first):
+                    own = np.array([*found, END], dtype="<u4")
                     for k, (begin, n) in enumerate(cut(len(own), size)):
                         part = own[begin : begin + n]
                         row.append(at), piece.append(k), start.append(begin), length.append(n), crc.append(zlib.crc32(part.tobytes()))

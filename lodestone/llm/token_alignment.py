@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .best_fit_packing import encoder, text_chunks
+from .best_fit_packing import text_chunks
+from .byte_bpe import encoder
 from .components import checkpoint_dir
 
 FEW = 1 << 22  #: pairs that are sent out whole: 20 bytes each, 84 MB at most
@@ -28,15 +29,6 @@ FEW = 1 << 22  #: pairs that are sent out whole: 20 bytes each, 84 MB at most
 _sides: dict[tuple[str, str], tuple] = {}
 
 
-def byte_level(entry: str) -> bytes:
-    """Bytes of a byte-level entry: printable Latin-1 characters stand for themselves, the others by code from U+0100 on."""
-    if not hasattr(byte_level, "of"):
-        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [x for x in range(256) if x not in set(own)]
-        byte_level.of = {chr(x): bytes([x]) for x in own} | {chr(0x100 + i): bytes([x]) for i, x in enumerate(rest)}
-    return b"".join(byte_level.of.get(c, c.encode()) for c in entry)
-
-
 class Sides:
     """Both tokenizers with the bytes of their ids."""
 
@@ -45,9 +37,7 @@ class Sides:
 
         self.first = encoder(first_name, first)
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
-        size = max(self.first.get_vocab().values()) + 1
-        entry = (self.first.id_to_token(i) for i in range(size))
-        self.a_bytes = [byte_level(x) if x is not None else b"" for x in entry]
+        self.a_bytes = self.first.bytes_of
         ids = range(self.second.get_piece_size())
         piece = [self.second.id_to_piece(i) for i in ids]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, piece, strict=True)]
@@ -58,15 +48,12 @@ class Sides:
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both sides for each text; none where a side does not give the text's bytes back."""
-        fast = self.first
-        fast.encode_special_tokens = True
         spaced = [" " + x for x in texts]
         out = []
-        for text, whole, a, b in zip(texts, spaced, fast.encode_batch(spaced, add_special_tokens=False), self.second.encode(texts, num_threads=1), strict=True):
-            a, raw = a.ids, whole.encode()
+        for text, whole, a, b in zip(texts, spaced, self.first.encode(spaced, False), self.second.encode(texts, num_threads=1), strict=True):
+            raw = whole.encode()
             same = bool(text) and b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
             out.append((a, b) if same else None)
-        fast.encode_special_tokens = False
         return out
 
 

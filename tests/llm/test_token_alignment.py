@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lodestone.llm import byte_bpe
 from lodestone.llm import token_alignment as alignment
 
 from .test_operators import PROSE, frame
@@ -28,7 +29,7 @@ def walk(texts):
     for text in texts:
         raw = (" " + (text or "")).encode()
         a, b = first.encode(raw.decode(), add_special_tokens=False).ids, second.encode(text or "")
-        size_a = [len(alignment.byte_level(first.id_to_token(i))) for i in a]
+        size_a = [len(byte_bpe.byte_level(first.id_to_token(i))) for i in a]
         piece = [bytes.fromhex(second.id_to_piece(i)[3:5]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode() for i in b]
         if not text or first.decode(a, skip_special_tokens=False).encode() != raw or b"".join(piece) != raw:
             out.append(None)
@@ -87,4 +88,23 @@ def test_intervals_by_hand():
 
 
 def test_byte_level_entries():
-    assert alignment.byte_level("Ġa") == b" a" and alignment.byte_level("Ċ") == b"\n" and alignment.byte_level("Ã©") == "é".encode()
+    assert byte_bpe.byte_level("Ġa") == b" a" and byte_bpe.byte_level("Ċ") == b"\n" and byte_bpe.byte_level("Ã©") == "é".encode()
+
+
+def test_ids_are_those_of_the_library(spark):
+    """Texts of all kinds by the quick way, and the way back to the library where special tokens count."""
+    from tokenizers import Tokenizer
+
+    with open(FIRST, encoding="utf-8") as file:
+        config = file.read()
+    model, library = byte_bpe.ByteBPE(config), Tokenizer.from_file(FIRST)
+    assert model.quick is not None
+    texts = [x or "" for x in TEXTS] + [" " * 3000, "\n\t " * 500, "1" * 3000, "'S's 'LL\u2019s", "a\u0301\u200d\u00a0b\x85c\x1cd", "漢" * 2000]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for special in (True, False):
+        library.encode_special_tokens = not special
+        assert model.encode(texts, special) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    changed = config.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true')
+    assert changed != config and byte_bpe.ByteBPE(changed).quick is None
+    assert byte_bpe.ByteBPE(changed).encode(["word"], False) == [Tokenizer.from_str(changed).encode("word", add_special_tokens=False).ids]
