@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import chunking, hierarchy
+from ..operators import chunking, hierarchy, outline
 from .documents import TREE, tree
 from .registry import query, table
 from .text import SECTIONS, docs, sections
@@ -123,3 +123,20 @@ def _(spark, d):
     rows = placed(spark, d).select(F.col("l_orderkey").alias("doc_id"), (F.col("place") - 1).alias("pos"), F.floor((F.col("place") + 1) / 2).cast("int").alias("page"), F.lit("Title").alias("category"), F.concat(F.lit("Line "), F.col("l_partkey")).alias("text"), F.lit(10.0).alias("font_size"), "l_partkey", "l_suppkey")
     outline = rows.filter("l_partkey % 3 = 0").select("doc_id", F.col("pos").alias("place"), F.lower("text").alias("title"), F.greatest(F.lit(1), F.col("page") - (F.col("l_suppkey") % 3).cast("int")).alias("page"))
     return hierarchy.mapped(outline, rows)
+
+
+@query("hy2_hy3_outline")
+def _(spark, d):
+    """Lines of documents as elements: numbered, bulleted and short ones as titles and items, their given parents one to three lines up."""
+    line = F.regexp_replace("content", r"^\s+|\s+$", "")
+    size = F.length(line)
+    category = (
+        F.when(F.col("pos") % 17 == 16, "Header")
+        .when(line.rlike(r"^([a-z]\)|[-*•])\s") | (size % 7 == 3), "ListItem")
+        .when(line.rlike(r"^[\d.]+\s") | ((size > 0) & (size < 60)) | (size % 5 == 0), "Title")
+        .otherwise("NarrativeText")
+    )
+    key = lambda pos: F.concat(F.col("doc_id").cast("string"), F.lit(":"), pos.cast("string"))
+    given = F.when(size % 4 > 0, key(F.col("pos") - size % 4))
+    rows = sections(spark, d).select("doc_id", "pos", key(F.col("pos")).alias("id"), given.alias("parent"), (F.floor(F.col("pos") / 20) + 1).cast("int").alias("page"), category.alias("category"), line.alias("text"), (9.0 + size % 6).alias("font_size"))
+    return outline.outlined(rows)
