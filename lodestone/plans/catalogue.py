@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, evaluation, files, graphs, grouping, language, linking, retrieval, rules, scoring, storage, text, trees  # noqa: F401
+from . import analytics, documents, evaluation, files, graph_store, graphs, grouping, language, linking, retrieval, rules, scoring, storage, text, trees  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
