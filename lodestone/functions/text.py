@@ -241,3 +241,38 @@ def duration(seconds: Column) -> Column:
     """TX26: milliseconds, seconds, minutes or hours, whichever is readable."""
     fixed = lambda x, n: F.format_string(f"%.{n}f", F.bround(x, n))
     return F.when(seconds < 1, F.concat(fixed(seconds * 1000, 1), F.lit("ms"))).when(seconds < 60, F.concat(fixed(seconds, 2), F.lit("s"))).when(seconds < 3600, F.concat(fixed(seconds / 60, 1), F.lit("m"))).otherwise(F.concat(fixed(seconds / 3600, 1), F.lit("h")))
+
+
+# What models put before a title, in the order in which each is taken away.
+TITLE_PREFIXES = ("Title:", "title:", "Název:", "název:", "Here is", "Here's", "The title is")
+
+
+def clean_title(title: Column) -> Column:
+    """TX28: a model's title without known prefixes, quotes around it, and punctuation at its end."""
+    blank = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    out = blank(title)
+    for prefix in TITLE_PREFIXES:
+        out = F.when(F.startswith(out, F.lit(prefix)), blank(F.substring(out, F.lit(len(prefix) + 1), F.length(out)))).otherwise(out)
+    return F.regexp_replace(F.regexp_replace(out, "^[\"']+|[\"']+$", ""), r"[.!?:]+$", "")
+
+
+def title_of(generated: Column, message: Column) -> Column:
+    """TX28: the cleaned title, or else the message with white space as single blanks, cut to 47 characters and ``...`` if it has more than 50."""
+    words = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), r"(?U)\s+", " "))
+    short = F.when(F.length(words) > 50, F.concat(F.substring(words, 1, 47), F.lit("..."))).otherwise(words)
+    return F.coalesce(F.nullif(clean_title(generated), F.lit("")), short)
+
+
+def final_answer(success: Column, text: Column) -> Column:
+    """TX23: nothing for a failed run; what the first ``<ANSWER>`` encloses, without white space around it; else the whole text as it is."""
+    tagged = r"(?s)<ANSWER>(.*?)</ANSWER>"
+    inner = F.regexp_replace(F.regexp_extract(text, tagged, 1), r"(?U)^\s+|\s+$", "")
+    found = F.when(text.rlike(tagged), inner).otherwise(F.coalesce(text, F.lit("")))
+    return F.when(F.coalesce(success, F.lit(False)), found).otherwise("")
+
+
+def expanded_forms(text: Column, dictionary: Column) -> Column:
+    """TX17: the text in lower case, and that with each of its acronyms that the map ``dictionary`` has written out, each form once."""
+    low = F.lower(text)
+    known = F.filter(acronyms(text), lambda a: F.map_contains_key(dictionary, a))
+    return F.array_distinct(F.concat(F.array(low), F.transform(known, lambda a: F.replace(low, F.lower(a), F.try_element_at(dictionary, a)))))

@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """MA1: divided by its length; a zero vector stays."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """MA1: divided by its length, which is worked out once; a zero vector stays."""
+    by = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(norm(a)), by), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -241,3 +241,19 @@ def probe(queries: DataFrame, members: DataFrame, centroids: list[tuple[int, lis
     chosen = cells.withColumn("p", place).filter(F.col("p") <= probes).select("query_id", "query", "cluster")
     scored = members.join(chosen, "cluster").select("query_id", "id", V.cosine(F.col("query"), F.col("vector")).alias("score")).filter("score IS NOT NULL")
     return ranked(scored, "score", k)
+
+
+def summaries(members: DataFrame, most: int = 5) -> DataFrame:
+    """CL7: ``cluster, size, centroid, closest`` of members (``id, vector, cluster``): the unit mean of unit vectors, and the ids nearest to it by cosine (ties by id).
+
+    Noise (-1) and members without a cluster or vector are in no summary. Sums are added up in each
+    partition first; of a cluster the ``most`` best of each partition alone are sorted together.
+    """
+    rows = members.filter("cluster <> -1 AND vector IS NOT NULL").select("id", "cluster", V.unit(F.col("vector")).alias("unit"))
+    means = _mean(F.lit(1.0), "cluster", rows, "unit")
+    order = W.partitionBy("cluster").orderBy(F.col("near").desc(), "id")
+    near = rows.join(means, "cluster").select("cluster", "id", F.round(V.dot(F.col("unit"), F.col("centroid")), 9).alias("near"))
+    best = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    closest = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda p: p["id"]).alias("closest"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
+    return sizes.join(means, "cluster").join(closest, "cluster").select("cluster", "size", "centroid", "closest")
