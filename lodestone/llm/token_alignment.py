@@ -12,8 +12,10 @@ are few they go to every task as sorted arrays, else links and counts are joined
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,10 @@ from .components import checkpoint_dir
 
 FEW = 1 << 22  #: pairs that are sent out whole: 20 bytes each, 84 MB at most
 
-_sides: dict[tuple[str, str], tuple] = {}
+CACHED, LONGEST = 1 << 19, 64  #: parts that a worker keeps, and characters of one of them
+PART = re.compile(r"(?<=[^ ]) (?=\S)")  #: a single space before a word
+
+_sides: dict[tuple[str, str], Sides] = {}
 
 
 class Sides:
@@ -46,23 +51,58 @@ class Sides:
         forms = [("", len(self.a_bytes)), (";", len(self.a_bytes)), (",", len(self.a_bytes)), ("|", len(self.b_bytes)), (",", len(self.b_bytes))]
         self.written = np.array([f"{mark}{i}" for mark, n in forms for i in range(n)], dtype=object)
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both sides for each text; none where a side does not give the text's bytes back."""
-        spaced = [" " + x for x in texts]
-        out = []
-        for text, whole, a, b in zip(texts, spaced, self.first.encode(spaced, False), self.second.encode(texts, num_threads=1), strict=True):
-            raw = whole.encode()
-            same = bool(text) and b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            out.append((a, b) if same else None)
+        # Neither side joins what is before a single space to what is after it: of the second no piece goes on
+        # after a word into a space, and the first takes a space that is before a word with that word.
+        self.parted = not any(re.search("[^▁]▁", p) for p in piece)
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.broken: set[str] = set()  #: parts that a side does not give back
+
+    def _parts(self, parts: list[str]) -> None:
+        """Adds the ids of both sides for parts that are not known, four bytes each."""
+        spaced = [" " + x for x in parts]
+        for known, found, bytes_of in zip(self.known, (self.first.encode(spaced, False), self.second.encode(parts, num_threads=1)), (self.a_bytes, self.b_bytes), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, ends[-1] if len(ends) else 0)
+            if b"".join(map(bytes_of.__getitem__, ids.tolist())) != "".join(spaced).encode():
+                self.broken.update(x for x, own in zip(parts, found, strict=True) if b"".join(map(bytes_of.__getitem__, own)) != (" " + x).encode())
+            held, start = ids.tobytes(), 0
+            for part, end in zip(parts, (4 * ends).tolist(), strict=True):
+                known[part] = held[start:end]
+                start = end
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides for each text, four bytes each; none where a side does not give the text's bytes back.
+
+        A text is its parts' ids one after the other. Parts that are kept are not encoded again.
+        """
+        cut = [PART.split(x) if self.parted else [x] for x in texts]
+        a, b = self.known
+        new = list(set().union(*cut).difference(a))
+        self._parts(new)
+        out = [(b"".join(map(a.__getitem__, parts)), b"".join(map(b.__getitem__, parts))) if text and (not self.broken or self.broken.isdisjoint(parts)) else None for text, parts in zip(texts, cut, strict=True)]
+        full = len(a) > CACHED
+        for part in new:
+            if full or len(part) > LONGEST:
+                del a[part], b[part]
+                self.broken.discard(part)
         return out
 
 
+def union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct values of two sorted arrays, sorted; a stable sort merges the two runs."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    keep = np.ones(len(both), dtype=bool)
+    keep[1:] = both[1:] != both[:-1]
+    return both[keep]
+
+
 def aligned(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, ...]:
     """For sorted ends of both sides: each interval's owners, and the group that each token is in.
 
     Returns (owner in a, owner in b, whether the interval closes a group, group of a's tokens, group of b's).
     """
-    ends = np.union1d(a_end, b_end)
+    ends = union1d(a_end, b_end)
     of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
     closes = (a_end[of_a] == ends) & (b_end[of_b] == ends)
     shared = ends[closes]
@@ -73,10 +113,9 @@ def _first_pass(sides: Sides, texts: list[str]) -> list[pa.Array]:
     """``n_a, n_b, n_groups, n_links, groups_sha256, pairs`` of each text."""
     found = sides.encode(texts)
     n = len(texts)
-    counts_a = np.array([len(x[0]) if x else 0 for x in found], dtype=np.int64)
-    counts_b = np.array([len(x[1]) if x else 0 for x in found], dtype=np.int64)
-    a = np.fromiter((i for x in found if x for i in x[0]), np.int64, counts_a.sum())
-    b = np.fromiter((i for x in found if x for i in x[1]), np.int64, counts_b.sum())
+    counts_a = np.array([len(x[0]) // 4 if x else 0 for x in found], dtype=np.int64)
+    counts_b = np.array([len(x[1]) // 4 if x else 0 for x in found], dtype=np.int64)
+    a, b = (np.frombuffer(b"".join([x[side] for x in found if x]), np.int32).astype(np.int64) for side in (0, 1))
     del found
     doc_a, doc_b = np.repeat(np.arange(n), counts_a), np.repeat(np.arange(n), counts_b)
     # A document has as many bytes on both sides, so one running sum keeps the sides in step.
@@ -184,7 +223,7 @@ def align_tokens(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id
     columns are ignored. Links are written once as Parquet under the checkpoint folder, so neither
     pass depends on an executor that may be lost. Pairs of up to ``few`` rows, as counted, are looked
     up in arrays, more by a join; the results are the same. Memory follows half a million characters,
-    or one text if that is longer.
+    or one text if that is longer, and half a million parts whose ids a worker keeps.
     """
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/links-{uuid.uuid4().hex}"

@@ -108,3 +108,18 @@ def test_ids_are_those_of_the_library(spark):
     changed = config.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true')
     assert changed != config and byte_bpe.ByteBPE(changed).quick is None
     assert byte_bpe.ByteBPE(changed).encode(["word"], False) == [Tokenizer.from_str(changed).encode("word", add_special_tokens=False).ids]
+
+
+def test_parts_that_are_not_kept(spark, monkeypatch):
+    """A cache that is full, and parts too long for it, change nothing."""
+    docs = frame(spark, [(i, t, None) for i, t in enumerate([*TEXTS, *TEXTS])])
+    wanted = sorted(map(tuple, alignment.align_tokens(docs, FIRST, SECOND).collect()))
+    sides = alignment.Sides("own", open(FIRST, encoding="utf-8").read(), open(SECOND, "rb").read())  # noqa: SIM115
+    assert sides.parted
+    texts = [x or "" for x in TEXTS]
+    whole = sides.encode(texts)
+    monkeypatch.setattr(alignment, "CACHED", 3)
+    assert sides.encode([*texts, "some new words"])[:-1] == whole and "some" not in sides.known[0]
+    sides.parted = False
+    assert sides.encode(texts) == whole
+    assert wanted == sorted(map(tuple, alignment.align_tokens(docs.repartition(5), FIRST, SECOND).collect()))
