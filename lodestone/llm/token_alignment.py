@@ -28,7 +28,7 @@ from .components import checkpoint_dir
 
 FEW = 1 << 22  #: pairs that are sent out whole: 20 bytes each, 84 MB at most
 
-CACHED, LONGEST = 1 << 19, 64  #: parts that a worker keeps, and characters of one of them
+CACHED, LONGEST = 1 << 18, 64  #: parts that a worker keeps, and characters of one of them
 PART = re.compile(r"(?<=[^ ]) (?=\S)")  #: a single space before a word
 
 _sides: dict[tuple[str, str], Sides] = {}
@@ -223,7 +223,7 @@ def align_tokens(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id
     columns are ignored. Links are written once as Parquet under the checkpoint folder, so neither
     pass depends on an executor that may be lost. Pairs of up to ``few`` rows, as counted, are looked
     up in arrays, more by a join; the results are the same. Memory follows half a million characters,
-    or one text if that is longer, and half a million parts whose ids a worker keeps.
+    or one text if that is longer, and a quarter of a million parts whose ids a worker keeps.
     """
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/links-{uuid.uuid4().hex}"
