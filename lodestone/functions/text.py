@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -250,9 +254,8 @@ TITLE_PREFIXES = ("Title:", "title:", "Název:", "název:", "Here is", "Here's",
 def clean_title(title: Column) -> Column:
     """TX28: a model's title without known prefixes, quotes around it, and punctuation at its end."""
     blank = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    out = blank(title)
-    for prefix in TITLE_PREFIXES:
-        out = F.when(F.startswith(out, F.lit(prefix)), blank(F.substring(out, F.lit(len(prefix) + 1), F.length(out)))).otherwise(out)
+    cut = lambda out, prefix: F.when(F.startswith(out, prefix), blank(F.substring(out, F.length(prefix) + 1, F.length(out)))).otherwise(out)
+    out = F.aggregate(F.array(*[F.lit(x) for x in TITLE_PREFIXES]), blank(title), cut)
     return F.regexp_replace(F.regexp_replace(out, "^[\"']+|[\"']+$", ""), r"[.!?:]+$", "")
 
 
@@ -276,3 +279,39 @@ def expanded_forms(text: Column, dictionary: Column) -> Column:
     low = F.lower(text)
     known = F.filter(acronyms(text), lambda a: F.map_contains_key(dictionary, a))
     return F.array_distinct(F.concat(F.array(low), F.transform(known, lambda a: F.replace(low, F.lower(a), F.try_element_at(dictionary, a)))))
+
+
+def composed(text: Column) -> Column:
+    """TX3: Unicode's canonical composition (NFC) of texts, in Arrow batches; the engine has no expression for it."""
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+
+    return compose(text)
+
+
+def repaired(text: Column) -> Column:
+    """TX3: ``repair_diacritics`` of the composed text: combining marks of any letter join it first, then carons that stand alone."""
+    return repair_diacritics(composed(text))
+
+
+def bpe_tokens(text: Column, ranks: str, parts: str) -> Column:
+    """TX10: the number of byte-pair tokens by a file of ranks (base64 token and rank a line) and the pattern that parts a text; none for null.
+
+    The driver reads the file; workers build the encoder once. Strings of special tokens are plain text.
+    """
+    with open(ranks, "rb") as file:
+        table = file.read()
+    held: dict[str, object] = {}
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        if "encoder" not in held:
+            import tiktoken
+
+            pairs = (line.split() for line in table.splitlines() if line)
+            held["encoder"] = tiktoken.Encoding("own", pat_str=parts, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        encode = held["encoder"].encode_ordinary
+        return texts.map(lambda x: 0 if x is None else len(encode(x))).astype("int64")
+
+    return count(text)

@@ -270,3 +270,19 @@ def _(spark, d):
     known = F.create_map(F.lit("GRI"), F.lit("global reporting initiative"), F.lit("EU"), F.lit("european union"))
     phrase = F.concat(F.lit("GRI report of "), "s_name", F.lit(" for EU"))
     return table(spark, d, "supplier").select("s_suppkey", F.array_sort(T.expanded_forms(phrase, known)).alias("forms"))
+
+
+@query("tx3_composed", "SELECT doc_id, nfc_normalize(regexp_replace(coalesce(text, ''), '([eaouciEA])', '\\1' || chr(769), 'g')) AS text FROM documents")
+def _(spark, d):
+    """Texts with an acute behind some letters, composed."""
+    marked = F.regexp_replace(F.coalesce("text", F.lit("")), "([eaouciEA])", "$1\u0301")
+    return docs(spark, d).select("doc_id", T.composed(marked).alias("text"))
+
+
+@query("tx10_bpe_tokens")
+def _(spark, d):
+    """Byte-pair tokens of every document, beside the estimate by length."""
+    import public_tokenizers
+
+    count = T.bpe_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs(spark, d).select("doc_id", count.alias("n_tokens"), T.token_estimate(F.col("text")).alias("estimate"))

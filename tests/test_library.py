@@ -133,3 +133,19 @@ def test_texts(spark):
     known = F.create_map(F.lit("EU"), F.lit("union"))
     assert one(spark, T.expanded_forms(F.lit("EU law of EU, NATO"), known)) == ["eu law of eu, nato", "union law of union, nato"]
     assert one(spark, T.expanded_forms(F.lit("eu law"), known)) == ["eu law"]
+
+
+def test_composition_and_tokens(spark):
+    import unicodedata
+
+    texts = ["e\u0301 c\u030c", "A\u0308\u0301", "\u1100\u1161", "plain", "", None, "c\u02c7 \u02c7x"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", T.composed(F.col("t")).alias("c"), T.repaired(F.col("t")).alias("r")).collect()
+    assert {r.i: r.c for r in rows} == {i: None if x is None else unicodedata.normalize("NFC", x) for i, x in enumerate(texts)}
+    assert rows[0].r == "é č" and rows[6].r == "č x"
+    tokenizers = pytest.importorskip("tokenizers")
+    files = pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    said = ["one two", "<|endoftext|>", "  é\n\n漢字", "", None, "x" * 3000]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").select("i", T.bpe_tokens(F.col("t"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN).alias("n")).collect()
+    assert {r.i: r.n for r in found} == {i: len(library.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(said)}
