@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..checkpoints import settled
 from ..functions.fuzzy import title_match
 from ..functions.text import heading_signature, numbering_depth, repair_diacritics
 
@@ -13,14 +14,14 @@ from ..functions.text import heading_signature, numbering_depth, repair_diacriti
 def paths(nodes: DataFrame, label: str = "id", glue: str = " > ") -> DataFrame:
     """HY4, TR2: ``id, path, ancestors, depth`` of every node that hangs from a root (``id, parent``; roots have no parent).
 
-    A level a step, as deep as the tree is; nodes on a cycle hang from none.
+    A level a step, as deep as the tree is, each in a checkpoint; nodes on a cycle hang from none.
     """
-    level = nodes.filter("parent IS NULL").select("id", F.col(label).cast("string").alias("path"), F.array().cast("array<string>").alias("ancestors"), F.lit(0).alias("depth")).cache()
+    level = settled(nodes.filter("parent IS NULL").select("id", F.col(label).cast("string").alias("path"), F.array().cast("array<string>").alias("ancestors"), F.lit(0).alias("depth")))
     out = level
     while not level.isEmpty():
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("__path"), F.col("ancestors").alias("__above"), F.col("depth").alias("__depth"))
         down = nodes.join(up, "parent")
-        level = down.select("id", F.concat("__path", F.lit(glue), F.col(label).cast("string")).alias("path"), F.concat("__above", F.array(F.col("parent").cast("string"))).alias("ancestors"), (F.col("__depth") + 1).alias("depth")).cache()
+        level = settled(down.select("id", F.concat("__path", F.lit(glue), F.col(label).cast("string")).alias("path"), F.concat("__above", F.array(F.col("parent").cast("string"))).alias("ancestors"), (F.col("__depth") + 1).alias("depth")))
         out = out.unionByName(level)
     return out
 

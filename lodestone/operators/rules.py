@@ -132,6 +132,12 @@ def cleaned(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return entities.withColumns({"group_id": group, "type": kind}), edges.filter("src <> tgt").withColumn("confidence", F.coalesce("confidence", F.lit(0.7)))
 
 
+def orphan_episodes(episodes: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """KG12: episodes (``episode``) that mention something, and those that mention nothing and so go."""
+    named = mentions.select("episode").filter("episode IS NOT NULL").distinct()
+    return episodes.join(named, "episode", "left_semi"), episodes.join(named, "episode", "left_anti")
+
+
 def merged_entities(entities: DataFrame) -> DataFrame:
     """ED6, ED9: one row for each ``type, norm`` of ``id, type, norm, confidence, chunks, tags``: the first id, the largest confidence, all chunks and tags, and the ids merged into it."""
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import settled
 from . import retrieval as R
 
 
@@ -33,12 +34,12 @@ def entity_facts(entities: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """TG5: ``start, node, hops``: fewest edges from each start (``start``) to what it reaches, up to ``most`` if given, else until nothing is new."""
     links = edges.select("src", "tgt").distinct()
-    step = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct().cache()
+    step = settled(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     seen = step
     n = 0
     while not step.isEmpty() and (most is None or n < most):
         n += 1
         step = step.join(links, F.col("node") == F.col("src")).select("start", F.col("tgt").alias("node"), F.lit(n).alias("hops")).distinct()
-        step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").cache()
+        step = settled(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen = seen.unionByName(step)
     return seen

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E
 from ..operators import graph_store as G
+from ..operators import rules as X
 from .graphs import EDGES, ENTITIES, edges, entities
 from .registry import query, table
 
@@ -101,3 +102,11 @@ def _(spark, d):
     twice = lambda key: rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("match"), F.count("*").alias("n")).filter("n > 1")
     found = {layer: rows.join(twice(key), key).select("id", "match") for layer, key in (("exact", "email"), ("alias", "name"))}
     return G.dedup_stats(E.cascade(rows, **found), {"semantic": E.SEMANTIC, "acronym": E.FUZZY})
+
+
+@query("kg12_orphan_episodes", "SELECT sale_id AS episode, status FROM sales WHERE sale_id IS NULL OR sale_id NOT IN (SELECT sale_id FROM sale_lines WHERE sale_id IS NOT NULL AND quantity > 40)")
+def _(spark, d):
+    """Sales without a line of more than forty pieces."""
+    episodes = table(spark, d, "sales").select(F.col("sale_id").alias("episode"), "status")
+    mentions = table(spark, d, "sale_lines").filter("quantity > 40").select(F.col("sale_id").alias("episode"))
+    return X.orphan_episodes(episodes, mentions)[1]

@@ -158,3 +158,10 @@ UNION ALL SELECT 'entities', 'all', count(*) FROM ({ENTITIES}) UNION ALL SELECT
 def _(spark, d):
     layers = {1: docs(spark, d).select(F.col("doc_id").alias("document_id")), 3: chunks(spark, d).select(F.col("doc_id").alias("document_id"))}
     return tools.corpus_stats(layers, entities(spark, d), edges(spark, d))
+
+
+@query("fm2_citation_styles", f"SELECT id, '[' || (id % 10 + 1) || '] ' || crumb AS inline, '[' || (id % 10 + 1) || '] ' || crumb || CASE WHEN page <> 0 THEN ' (Page ' || page || ')' ELSE '' END AS detailed, '[' || (id % 10 + 1) || '] ' || crumb || CASE WHEN page <> 0 THEN ', p. ' || page ELSE '' END AS footnote FROM (SELECT *, {CRUMB} AS crumb FROM ({SOURCES}))")
+def _(spark, d):
+    rows = library(spark, d).withColumn("crumb", tools.where_from(*[F.col(c) for c in tools.SOURCE]))
+    cite = [tools.citation(F.col("id") % 10 + 1, F.col("crumb"), F.col("page_number"), style).alias(style) for style in tools.STYLES]
+    return rows.select("id", *cite)
