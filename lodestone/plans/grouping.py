@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters as C
+from ..operators.density import density_levels
 from .registry import query
 from .retrieval import asked, items
 
@@ -84,3 +85,9 @@ def _(spark, d):
     """Half of the cells probed; tests hold its recall against exact search."""
     members, centroids = C.k_means(own(spark, d), C.spread_seeds(own(spark, d), 16), rounds=3)
     return C.probe(asked(spark, d), members.select("id", "vector", "cluster"), centroids, 10, 8)
+
+
+@query("cl5_density_levels")
+def _(spark, d):
+    """Labels as groups."""
+    return density_levels(items(spark, d), "label")
