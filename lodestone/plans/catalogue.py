@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, evaluation, files, graph_store, graphs, grouping, language, library, linking, retrieval, rules, scoring, storage, text, tools, trees, usage  # noqa: F401
+from . import analytics, documents, evaluation, experiments, files, graph_store, graphs, grouping, language, library, linking, retrieval, rules, scoring, storage, text, tools, trees, usage  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
