@@ -173,9 +173,10 @@ def revealing_terms(spots: DataFrame, docs: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return pairs.select("term", "entity")
     wanted = _few(pairs.select("term").distinct())
-    # Only lines' hashes with candidate terms are counted.
-    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.md5("line").alias("line_id"), F.explode(_terms(F.col("line"))).alias("term"))
-    lines = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("lines"))
+    # Different lines are found first, so what is shuffled is each line once and not each of its terms; terms are then counted where their lines are.
+    different = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").distinct()
+    words = different.select(F.explode(_terms(F.col("line"))).alias("term"))
+    lines = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("lines"))
     return pairs.join(lines, "term").filter(F.col("together") >= DISCLOSURE * F.col("lines")).select("term", "entity").checkpoint()
 
 
