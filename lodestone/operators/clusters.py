@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from . import blocks
 from .retrieval import ranked
 
 MOST_CENTROIDS = 4096  #: centroids that are sent out whole
-MOST_POINTS = 5000  #: points of one group that are clustered by all their distances
+HELD = 2000  #: points of one group whose distances are all held; more are merged by their clusters' means
 
 
 def _mean(member: Column, by: str, rows: DataFrame, name: str = "vector") -> DataFrame:
@@ -132,6 +133,55 @@ def _linkage(x: np.ndarray, sizes: range) -> dict[int, np.ndarray]:
     return out
 
 
+def _chained(x: np.ndarray, sizes: range) -> dict[int, np.ndarray]:
+    """``_linkage`` by chains of nearest neighbours, which holds the means of clusters in place of distances.
+
+    The mean distance of two clusters of unit vectors follows from their means, so n means and one row of
+    distances are held. Average linkage never brings a merged cluster nearer to a third than both parts were,
+    so the pairs found, in the order of their distances, are those of ``_linkage`` but for ties.
+    """
+    n = len(x)
+    mean, weight, head, off = x.copy(), np.ones(n), np.arange(n), np.zeros(n)
+    left, chain, merges = n, [], []
+    while left > 1:
+        if left < len(mean) // 2:
+            kept = np.flatnonzero(off == 0)
+            spot = dict(zip(kept.tolist(), range(len(kept)), strict=True))
+            mean, weight, head, off, chain = mean[kept], weight[kept], head[kept], off[kept], [spot[c] for c in chain]
+        if not chain:
+            chain = [int(np.argmax(off))]
+        own = chain[-1]
+        near = mean @ mean[own] + off
+        near[own] = -np.inf
+        best = int(np.argmax(near))
+        if len(chain) < 2 or near[best] > near[chain[-2]]:
+            chain.append(best)
+            continue
+        i, j = sorted((own, chain[-2]), key=lambda c: head[c])
+        merges.append((1 - near[chain[-2]], head[i], head[j]))
+        mean[i] = (mean[i] * weight[i] + mean[j] * weight[j]) / (weight[i] + weight[j])
+        weight[i] += weight[j]
+        off[j] = -np.inf
+        left -= 1
+        del chain[-2:]
+    out, owner = {}, np.arange(n)
+    if n in sizes:
+        out[n] = owner
+    for left, (_, i, j) in zip(range(n - 1, 0, -1), sorted(merges, key=lambda m: m[0]), strict=True):
+        i, j = sorted((i, j))
+        while owner[i] != i:
+            owner[i] = i = owner[owner[i]]
+        while owner[j] != j:
+            owner[j] = j = owner[owner[j]]
+        owner[max(i, j)] = min(i, j)
+        if left in sizes:
+            label = owner
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+            out[left] = np.unique(label, return_inverse=True)[1]
+    return out
+
+
 def _silhouette(x: np.ndarray, label: np.ndarray) -> float:
     sums = np.stack([x[label == k].sum(axis=0) for k in range(label.max() + 1)])
     n = np.bincount(label)
@@ -145,21 +195,20 @@ def _silhouette(x: np.ndarray, label: np.ndarray) -> float:
 
 
 def agglomerative(items: DataFrame, by: str, n_clusters: int | None = None, least: int = 2, most: int = 20) -> DataFrame:
-    """CL6: ``by, id, cluster``: average linkage by cosine within each group of at most ``MOST_POINTS`` items.
+    """CL6: ``by, id, cluster``: average linkage by cosine within each group.
 
     Without ``n_clusters`` the number with the best silhouette of every (most - least) // 10th one is
-    taken. A larger group is an error and not cut.
+    taken. Each merge needs those before, so a group is one task; it holds the group's vectors, and its
+    time grows with the square of the group.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_POINTS:
-            raise ValueError(f"a group of more than {MOST_POINTS} points")
         group = group.sort_values("id")
         x = np.array(group["vector"].tolist(), float)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         high = min(most, len(x) - 1)
         tried = sorted({min(n_clusters, len(x))} if n_clusters else {*range(least, high + 1, max(1, (high - least) // 10)), high} if high >= least else {min(2, len(x))})
-        found = _linkage(x, tried)
+        found = (_linkage if len(x) <= HELD else _chained)(x, tried)
         best = max(tried, key=lambda k: (_silhouette(x, found[k]) if 1 < k < len(x) else -1.0, -k))
         return pd.DataFrame({by: group[by], "id": group["id"], "cluster": found[best].astype("int32")})
 
@@ -168,35 +217,53 @@ def agglomerative(items: DataFrame, by: str, n_clusters: int | None = None, leas
 
 
 def density(items: DataFrame, by: str, least: int = 5, near: float = 0.5) -> DataFrame:
-    """CL5: ``by, id, cluster`` by density within each group of at most ``MOST_POINTS`` items; -1 is noise.
+    """CL5: ``by, id, cluster`` by density within each group of any number of items; -1 is noise, null vectors are left out.
 
     Points with ``least`` neighbours within their mutual reach are linked by single linkage of mutual
-    reachability distances up to ``near``; components of fewer than ``least`` points are noise.
+    reachability distances up to ``near``; components of fewer than ``least`` points are noise. Two blocks
+    of a group at a time hand on the components that their links make, a row for each point, and these
+    are all that the group's own task joins.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_POINTS:
-            raise ValueError(f"a group of more than {MOST_POINTS} points")
-        group = group.sort_values("id")
-        x = np.array(group["vector"].tolist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        far = np.maximum(1 - x @ x.T, 0)
-        core = np.sort(far, axis=1)[:, min(least, len(x)) - 1]
-        reach = np.maximum(far, np.maximum(core[:, None], core[None]))
-        linked = reach <= near
-        label = np.arange(len(x))
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (by, "id")}
+    points = blocks.with_core(blocks.placed(items, by), by, least)
+
+    def links(low: pd.DataFrame, high: pd.DataFrame) -> pd.DataFrame:
+        one = high is low
+        linked = np.maximum(blocks.distances(low, high), np.maximum(low["core"].to_numpy()[:, None], high["core"].to_numpy()[None])) <= near
+        m, k = linked.shape
+        x = np.arange(m) if one else np.arange(m + k)
+        while True:  # the least point of those linked; the second set follows the first
+            old, y = x, x if one else x[m:]
+            new = np.where(linked, y[None], len(x)).min(axis=1)
+            new = new if one else np.concatenate([new, np.where(linked, x[:m, None], len(x)).min(axis=0)])
+            x = np.minimum(new, old)[np.minimum(new, old)]
+            if np.array_equal(x, old):
+                break
+        place = low["place"].to_numpy() if one else np.concatenate([low["place"], high["place"]])
+        ids = low["id"] if one else pd.concat([low["id"], high["id"]])
+        keep = slice(None) if one else x != np.arange(len(x))
+        return pd.DataFrame({by: low[by].iloc[0], "id": ids[keep], "place": place[keep], "other": place[x][keep]})
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows["place"].to_numpy(), rows["other"].to_numpy()
+        own = rows.drop_duplicates("place").sort_values("place")
+        label = np.arange(len(own))
         while True:
-            new = np.where(linked, label[None], len(x)).min(axis=1)
-            new = np.minimum(new, label)[np.minimum(new, label)]
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, label[a], label[b])
+            np.minimum.at(new, b, new[a])
+            np.minimum.at(new, label[b], new[a])
+            new = new[new]
             if np.array_equal(new, label):
                 break
             label = new
-        kept, index, n = np.unique(label, return_inverse=True, return_counts=True)
+        _, index, n = np.unique(label, return_inverse=True, return_counts=True)
         names = np.cumsum(n >= least) - 1
-        return pd.DataFrame({by: group[by], "id": group["id"], "cluster": np.where(n[index] >= least, names[index], -1).astype("int32")})
+        return pd.DataFrame({by: own[by], "id": own["id"], "cluster": np.where(n[index] >= least, names[index], -1).astype("int32")})
 
-    kinds = {c: items.schema[c].dataType.simpleString() for c in (by, "id")}
-    return items.select(by, "id", "vector").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, cluster int")
+    found = blocks.met(points, by, links, f"{by} {kinds[by]}, id {kinds['id']}, place long, other long")
+    return found.groupBy(by).applyInPandas(label, f"{by} {kinds[by]}, id {kinds['id']}, cluster int")
 
 
 def _sums(members: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestone.operators import density
+from lodestone.operators import blocks, clusters, density
 
 
 def components(reach, points, limit):
@@ -92,3 +92,45 @@ def test_equal_points_and_limits(spark, monkeypatch):
     found = {r.id: r.cluster for r in density.density_levels(rows, "grp", 5).collect()}
     assert found == {i: int(i >= 10) for i in range(20)}
     assert density.density_levels(rows.limit(0), "grp").count() == 0
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Groups beyond what one task held before, here in blocks of 16 points: equal to the whole matrix, ties, copies and a null group with them."""
+    rng = np.random.default_rng(3)
+    sizes = {1: 90, 2: 33, None: 16, 4: 1}
+    vectors = {g: rng.normal(size=(n, 3)).round(1) + rng.integers(-1, 2, size=(n, 1)) for g, n in sizes.items()}
+    vectors[1][40:50] = vectors[1][0]
+    rows = [(g, i + (1 << 60), v.tolist()) for g, x in vectors.items() for i, v in enumerate(x)]
+    items = spark.createDataFrame(rows, "g int, id long, vector array<double>")
+    found = []
+    for size in (16, 2048):
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        found.append([sorted(map(repr, f.collect())) for f in (clusters.density(items, "g", 4, 0.05), density.density_levels(items, "g", 4))])
+    assert found[0] == found[1]
+    assert len(found[0][0]) == len(found[0][1]) == len(rows)
+    labels = {r.id - (1 << 60): r.cluster for r in density.density_levels(items, "g", 4).collect() if r.g == 1}
+    x = vectors[1] / np.maximum(np.linalg.norm(vectors[1], axis=1, keepdims=True), 1e-12)
+    far = np.maximum(1 - x @ x.T, 0)
+    np.fill_diagonal(far, 0)
+    core = np.sort(far, axis=1)[:, 4]
+    assert [labels[i] for i in range(90)] == density.labels_by_stability(np.maximum(far, np.maximum(core[:, None], core[None])), 4).tolist()
+
+
+def test_more_points_than_one_matrix(spark):
+    """5,001 points of a group were an error."""
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(np.eye(3)[np.arange(5001) % 3] + rng.normal(scale=0.05, size=(5001, 3)))], "g int, id int, vector array<double>")
+    for f in (lambda: clusters.density(items, "g", 5, 0.01), lambda: density.density_levels(items, "g", 1000), lambda: clusters.agglomerative(items, "g")):
+        of = {}
+        for r in f().collect():
+            of.setdefault(r.id % 3, set()).add(r.cluster)
+        assert len(of) == 3 and len(set.union(*of.values()) - {-1}) == 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_of_neighbours(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(int(rng.integers(2, 200)), 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    whole, chained = clusters._linkage(x, range(1, 21)), clusters._chained(x, range(1, 21))
+    assert whole.keys() == chained.keys() and all(np.array_equal(whole[k], chained[k]) for k in whole)
