@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settled
 from . import retrieval as R
+from .search import best
 
 
 def valid_at(start: Column, end: Column, at: Column) -> Column:
@@ -18,7 +19,7 @@ def search_facts(queries: DataFrame, facts: DataFrame, at: Column, k: int, types
     """TG1: facts (``id, type, vector, text, valid_at, invalid_at``) that hold at a time, by rank fusion of vectors and words (``query_id, query, text``)."""
     now = facts.filter(valid_at(F.col("valid_at"), F.col("invalid_at"), at))
     now = now if types is None else now.filter(F.col("type").isin(types))
-    near = R.ranked(R.dense(queries, now.select("id", "vector")), "score", 10 * k)
+    near = best(queries, now.select("id", "vector"), 10 * k)
     words = R.ranked(R.sparse(queries.select("query_id", "text"), now.select("id", "text")), "score", 10 * k)
     return R.rrf(near, words, k).select("query_id", "id", "score", "rank")
 

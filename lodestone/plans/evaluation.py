@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, tokenize
-from ..operators import retrieval as R
 from .registry import query, table
-from .retrieval import DENSE, RANK, dense, items
+from .retrieval import DENSE, RANK, best, items
 from .text import NORM, TOK
 
 K = 10
@@ -18,7 +17,7 @@ RELEVANT = "SELECT a.vec_id AS query_id, count(*) - 1 AS n FROM embeddings a JOI
 def judged(spark, d):
     """The first K results of each query with their relevance (same label), and how many items are relevant."""
     label = items(spark, d).select("id", "label")
-    top = R.ranked(dense(spark, d).filter("id <> query_id"), "score", K).join(label, "id")
+    top = best(spark, d, K, itself=False).join(label, "id")
     own = label.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
     n = label.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("n"))
     return top.join(F.broadcast(own.join(n, "wanted")), "query_id").select("query_id", (F.col("rank") + 1).alias("pos"), (F.col("label") == F.col("wanted")).cast("int").alias("rel"), "n")

@@ -8,10 +8,9 @@ from pyspark.sql import Window as W
 from ..functions import vectors as V
 from ..functions.text import normalize, tokenize
 from ..operators import confidence as C
-from ..operators import retrieval as R
 from .evaluation import RELEVANT
 from .registry import query, table
-from .retrieval import COS, DENSE, RANK, dense, items
+from .retrieval import COS, DENSE, RANK, best, items
 from .text import NORM, TOK
 from .trees import PLACE, placed
 
@@ -123,7 +122,7 @@ WIDE = 100
 def _(spark, d):
     """One row a query: recall and the first hundred scores, padded with 0."""
     label = items(spark, d).select("id", "label")
-    top = R.ranked(dense(spark, d).filter("id <> query_id"), "score", WIDE).join(label, "id")
+    top = best(spark, d, WIDE, itself=False).join(label, "id")
     own = label.select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
     n = label.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("n"))
     rows = top.join(own.join(n, "wanted"), "query_id").groupBy("query_id").agg(F.coalesce(F.try_divide(F.count_if(F.col("label") == F.col("wanted")), F.max("n")), F.lit(0.0)).alias("recall"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
