@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import clusters as C
 from ..operators.density import density_levels
 from .registry import query
@@ -27,7 +28,7 @@ def _(spark, d):
     """Centroids after one step from given seeds."""
     _, centroids = C.k_means(own(spark, d), seeds(spark, d), rounds=1)
     rows = [(k, i + 1, v) for k, x in centroids for i, v in enumerate(x)]
-    return spark.createDataFrame(rows, "cluster int, i int, x double").select("cluster", "i", F.round("x", 6).alias("x"))
+    return spark.createDataFrame(rows, "cluster int, i int, x double").select("cluster", "i", V.rounded(F.col("x"), 6).alias("x"))
 
 
 @query("cl1_spherical_k_means")
