@@ -36,7 +36,7 @@ def html_elements(pages: pd.Series) -> pd.Series:
 
 def plain_elements(text: Column) -> Column:
     """SC2: paragraphs of plain text as ``category, text``: list items by their mark, titles by being short and without a full stop."""
-    parts = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
     kind = lambda x: F.when(x.rlike(r"^([-*•]|\d+[.)])\s"), "ListItem").when((F.length(x) <= 60) & ~x.rlike(r"[.!?:;,]$"), "Title").otherwise("NarrativeText")
     return F.transform(parts, lambda x: F.struct(kind(x).alias("category"), x.alias("text")))
 

@@ -11,6 +11,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import retrieval as R
 from lodestone.plans import catalogue
+from lodestone.sources import markup
 
 from .conftest import SF
 
@@ -74,6 +75,23 @@ def test_vectors(spark):
     assert one(spark, V.cosine(zero, a)) is None
 
 
+def test_trimmed_elements(spark):
+    """A paragraph lost the digits of its own number at its ends."""
+    rows = spark.createDataFrame([(1, " 0 a 0 \n11 b 1\n\n22 c 2")], "doc_id int, text string")
+    assert [r.text for r in markup.elements(rows, markup.plain_elements(F.col("text"))).orderBy("pos").collect()] == ["0 a 0", "11 b 1", "22 c 2"]
+
+
+def test_halves_of_shares(spark):
+    """4500 / 1000000 * 100 is a little below .45, ten times it is 4.5."""
+    shares = spark.createDataFrame([(x,) for x in (4500.0, 18500.0, 71500.0, -4500.0, 123456789.0)], "x double")
+    assert [r.s for r in shares.select(T.percent(F.col("x") / 1000000).alias("s")).collect()] == ["0.5%", "1.9%", "7.2%", "-0.5%", "12345.7%"]
+
+
+def test_signs_of_rounded_numbers(spark):
+    numbers = spark.createDataFrame([(x,) for x in (-1e-8, 1e-8, 0.0, -0.1234565)], "x double")
+    assert [str(r.r) for r in numbers.select(V.rounded(F.col("x"), 6).alias("r")).collect()] == ["-0.0", "0.0", "0.0", "-0.123457"]
+
+
 def test_rrf_imputes_missing_ranks(spark):
     """dense [a, b], sparse [b]: a tie that the id breaks."""
     lists = [spark.createDataFrame([Row(query_id=0, id=i, rank=r) for i, r in x]) for x in ([("a", 0), ("b", 1)], [("b", 0)])]
