@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 
 @F.pandas_udf(DoubleType())
@@ -16,6 +16,22 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether ``fuzzy_ratio`` is at least ``threshold``; the ratio's bound by letters, whatever their order, comes first."""
+
+    @F.pandas_udf(BooleanType())
+    def enough(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            if x is None or y is None:
+                return False
+            both = SequenceMatcher(None, x.lower(), y.lower())
+            return both.quick_ratio() >= threshold and both.ratio() >= threshold
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return enough(a, b)
+
+
 def title_match(text: Column, title: Column, category: Column, size: Column, median_size: Column) -> Column:
     """TX19: alike (over .85), or one within the other and the text longer than 5; and a title, or not smaller than the page's print."""
     a, b = F.lower(text), F.lower(title)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..checkpoints import settled
 from ..functions import vectors as V
-from ..functions.fuzzy import fuzzy_ratio
+from ..functions.fuzzy import alike
 from ..functions.text import acronyms
 
 SEMANTIC, FUZZY = 0.90, 0.85
@@ -39,17 +42,40 @@ def expanded(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.select("id", "type", F.explode(F.array_compact(F.array(F.lower("value"), spelled))).alias("form")).distinct()
 
 
+FIRST, WIDER, SENT = 8, 8, 200_000  #: known forms of a length that are compared first, how many times more next, rows that are sent out
+
+
 def acronym_matches(new: DataFrame, known: DataFrame, dictionary: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """J16, ED4: ``id, match`` of the first known entity of the type (by id) of which a form is alike a form of the new one.
 
-    Forms whose lengths alone rule the ratio out are not compared.
+    Forms whose lengths alone rule the ratio out are not compared. Known forms of a type and length are taken
+    in order, a few at first and more in each round; a new one is settled when all that are left come after its match.
     """
-    left, right = expanded(new, dictionary), expanded(known, dictionary)
-    a, b = F.length("form"), F.length("__form")
-    pairs = left.join(right.select(F.col("id").alias("match"), "type", F.col("form").alias("__form")), "type")
-    pairs = pairs.filter((F.col("id") != F.col("match")) & (2 * F.least(a, b) >= threshold * (a + b)))
-    alike = pairs.filter(fuzzy_ratio(F.col("form"), F.col("__form")) >= threshold)
-    return alike.groupBy("id").agg(F.min("match").alias("match"))
+    n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.length("form")
+    order = W.partitionBy("type", "__size").orderBy("id", "form")
+    right = expanded(known, dictionary).withColumn("__size", size).withColumn("place", F.row_number().over(order))
+    right = settled(right.select(F.col("id").alias("match"), F.col("type").alias("__type"), F.col("form").alias("__form"), "__size", "place"))
+    open_ = settled(expanded(new, dictionary).withColumn("best", F.lit(None).cast(known.schema["id"].dataType)).repartition(n, "id", "form"))
+    out, start, width = [], 0, FIRST
+    while not open_.isEmpty():
+        band = right.filter((F.col("place") > start) & (F.col("place") <= start + width))
+        small = band.count() <= SENT
+        both = 2 * F.least(size, F.col("__size")) >= threshold * (size + F.col("__size"))
+        earlier = F.col("best").isNull() | (F.col("match") < F.col("best"))
+        pairs = open_.join(F.broadcast(band) if small else band, (F.col("type") == F.col("__type")) & (F.col("id") != F.col("match")) & both & earlier)
+        pairs = pairs if small else pairs.repartition(n)
+        found = pairs.filter(alike(F.col("form"), F.col("__form"), threshold)).groupBy("id").agg(F.min("match").alias("__found"))
+        rest = right.filter(F.col("place") == start + width + 1).groupBy(F.col("__type").alias("type")).agg(F.min("match").alias("__rest"))
+        done = open_.join(found, "id", "left").withColumn("best", F.least("best", "__found")).drop("__found")
+        done = settled(done.join(rest, "type", "left"))
+        left = F.col("__rest").isNotNull() & (F.col("best").isNull() | (F.col("__rest") < F.col("best")))
+        out.append(done.filter("best IS NOT NULL").select("id", F.col("best").alias("match")))
+        open_ = settled(done.filter(left).drop("__rest").repartition(n, "id", "form"))
+        start, width = start + width, width * WIDER
+    if not out:
+        return new.select("id", F.lit(None).cast(known.schema["id"].dataType).alias("match")).limit(0)
+    return reduce(lambda x, y: x.unionByName(y), out).groupBy("id").agg(F.min("match").alias("match"))
 
 
 LAYERS = ("exact", "alias", "semantic", "acronym")
@@ -99,13 +125,16 @@ def version(name: Column) -> Column:
 def supersedes(entities: DataFrame) -> DataFrame:
     """XD2: ``newer, older`` of entities (``id, value``) of one base name, each version with the one before it and all others below.
 
-    Versions compare as numbers where both are numbers, else as text.
+    Versions compare as numbers where both are numbers, else as text; each two versions of a name once, and
+    their entities meet by name and version, so no pair is made that is not one of the result.
     """
     rows = entities.select("id", F.lower(base_name(F.col("value"))).alias("base"), version(F.col("value")).alias("version")).filter("version IS NOT NULL AND base <> ''")
-    old = rows.select(F.col("id").alias("older"), "base", F.col("version").alias("__old"))
-    a, b = F.col("version").try_cast("double"), F.col("__old").try_cast("double")
-    later = F.when(a.isNotNull() & b.isNotNull(), a > b).otherwise(F.col("version") > F.col("__old"))
-    return rows.join(old, "base").filter(later).select(F.col("id").alias("newer"), "older")
+    versions = rows.select("base", "version").distinct().withColumn("__n", F.col("version").try_cast("double"))
+    old = versions.select("base", F.col("version").alias("__old"), F.col("__n").alias("__m"))
+    later = F.when(F.col("__n").isNotNull() & F.col("__m").isNotNull(), F.col("__n") > F.col("__m")).otherwise(F.col("version") > F.col("__old"))
+    steps = versions.join(old, "base").filter(later).select("base", "version", "__old")
+    newer = rows.join(steps, ["base", "version"]).select(F.col("id").alias("newer"), "base", F.col("__old").alias("version"))
+    return newer.join(rows.withColumnRenamed("id", "older"), ["base", "version"]).select("newer", "older")
 
 
 def boosted(candidates: DataFrame, entities: DataFrame, edges: DataFrame, asked: DataFrame, k: int, weight: float = 0.3, hop: float = 0.1) -> DataFrame:
