@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..checkpoints import settled
 from ..functions import vectors as V
 from . import blocks
-from .retrieval import ranked
+from .search import best
 
 MOST_CENTROIDS = 4096  #: centroids that are sent out whole
 HELD = 2000  #: points of one group whose distances are all held; more are merged by their clusters' means
@@ -302,12 +303,14 @@ def quality(members: DataFrame) -> DataFrame:
 
 
 def probe(queries: DataFrame, members: DataFrame, centroids: list[tuple[int, list[float]]], k: int, probes: int) -> DataFrame:
-    """VS4: the first ``k`` items (``id, vector, cluster``) of the ``probes`` clusters nearest to each query; exact if all are probed."""
+    """VS4: the first ``k`` items (``id, vector, cluster``) of the ``probes`` clusters nearest to each query; exact if all are probed.
+
+    Members are written once, and queries meet those of their clusters in matrices.
+    """
     cells = queries.join(_sent(queries.sparkSession, centroids)).withColumn("s", V.dot(V.unit(F.col("query")), F.col("centroid")))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("s").desc(), "cluster"))
     chosen = cells.withColumn("p", place).filter(F.col("p") <= probes).select("query_id", "query", "cluster")
-    scored = members.join(chosen, "cluster").select("query_id", "id", V.cosine(F.col("query"), F.col("vector")).alias("score")).filter("score IS NOT NULL")
-    return ranked(scored, "score", k)
+    return best(chosen, settled(members.select("id", "vector", "cluster")), k, match=("cluster",))
 
 
 def summaries(members: DataFrame, most: int = 5) -> DataFrame:
