@@ -102,12 +102,34 @@ def named_in(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])), lambda x: F.lower(F.trim(x)))
 
 
+SPREAD = 4  #: parts of each side of a norm, so that one that many name is not one task's; its lists are of as many parts squared
+
+
+def _by_norm(rows: DataFrame, end: str) -> DataFrame:
+    """Of ``end, norm, document`` a row for each end and norm: its first document and whether it has others; null is a document, too."""
+    other = F.coalesce(F.min("document") != F.max("document"), F.lit(False)) | F.count("document").between(1, F.count("*") - 1)
+    return rows.groupBy(end, "norm").agg(F.min("document").alias(f"__{end}"), other.alias(f"__{end}s"))
+
+
 def cross_links(new: DataFrame, known: DataFrame, patterns: tuple[str, ...], relation: str, confidence: float) -> DataFrame:
-    """XD1, XD3: ``src, tgt, type, confidence`` where a new entity's value names a known one of another document (``id, value, norm, document``)."""
-    named = new.select(F.col("id").alias("src"), F.col("document").alias("__from"), F.explode(F.array_distinct(named_in(F.col("value"), patterns))).alias("norm"))
-    targets = known.filter("norm IS NOT NULL").select(F.lower("norm").alias("norm"), F.col("id").alias("tgt"), F.col("document").alias("__to"))
-    found = named.join(targets, "norm").filter(~F.col("__from").eqNullSafe(F.col("__to")))
-    return found.select("src", "tgt", F.lit(relation).alias("type"), F.lit(confidence).alias("confidence")).distinct()
+    """XD1, XD3: ``src, tgt, type, confidence`` where a new entity's value names a known one of another document (``id, value, norm, document``).
+
+    Both sides are made distinct before they meet, so links to a known entity of one norm come once and are
+    not shuffled; those to one of several norms, whose id is repeated, are made distinct after. Known entities
+    of one norm and document meet a new one as lists.
+    """
+    values = new.select(F.col("id").alias("src"), F.explode(F.array_distinct(named_in(F.col("value"), patterns))).alias("norm"), "document")
+    norms = known.filter("norm IS NOT NULL").select(F.col("id").alias("tgt"), F.lower("norm").alias("norm"), "document")
+    targets = _by_norm(norms, "tgt").withColumn("__once", F.count("*").over(W.partitionBy("tgt")) == 1)
+    bucket = F.pmod(F.xxhash64("tgt"), F.lit(SPREAD * SPREAD)).alias("__bucket")
+    listed = targets.groupBy("norm", bucket, "__tgt", "__tgts", "__once").agg(F.collect_list(F.struct("tgt")).alias("__listed"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>"))
+    left = _by_norm(values, "src").withColumns({"__row": F.pmod(F.xxhash64("src"), F.lit(SPREAD)), "__column": parts})
+    right = listed.withColumns({"__column": F.col("__bucket") % SPREAD, "__row": parts})
+    apart = F.col("__srcs") | F.col("__tgts") | ~F.col("__src").eqNullSafe(F.col("__tgt"))
+    met = lambda some: left.join(right.filter(some), ["norm", "__row", "__column"]).filter(apart).select("src", F.inline("__listed"))
+    found = met("__once").unionByName(met("NOT __once").distinct())
+    return found.select("src", "tgt", F.lit(relation).alias("type"), F.lit(confidence).alias("confidence"))
 
 
 def base_name(name: Column) -> Column:
