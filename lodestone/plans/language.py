@@ -30,7 +30,7 @@ MARKED = r"regexp_replace(text, '([.!?])\s+([A-ZÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ])
 @query("tx9_sentences", f"SELECT doc_id, CAST(len(s) AS INT) AS n, s[1] AS first, s[-1] AS last FROM (SELECT doc_id, list_filter(list_transform(string_split({MARKED}, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)")
 def _(spark, d):
     s = T.sentences(F.col("text"))
-    return docs(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"), F.element_at("s", -1).alias("last"))
+    return docs(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last"))
 
 
 @query("tx11_truncate_sentence", r"""
