@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..checkpoints import settled
-from ..functions import vectors as V
 from ..functions.fuzzy import alike
 from ..functions.text import acronyms
+from .search import best
 
 SEMANTIC, FUZZY = 0.90, 0.85
 
@@ -27,12 +27,15 @@ def alias_pairs(aliases: DataFrame) -> DataFrame:
 
 
 def similar(new: DataFrame, known: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
-    """J15, ED3: ``id, match, score`` of the known entity of the same type (``id, type, vector``) with the largest cosine, if that is enough; ties by id."""
-    other = known.select(F.col("id").alias("match"), "type", F.col("vector").alias("__v"))
-    pairs = new.select("id", "type", "vector").join(other, "type").filter(F.col("id") != F.col("match"))
-    pairs = pairs.select("id", "match", V.cosine(F.col("vector"), F.col("__v")).alias("score")).filter(F.col("score") >= threshold)
-    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
-    return best.select("id", F.col("b.match").alias("match"), (-F.col("b.s")).alias("score"))
+    """J15, ED3: ``id, match, score`` of the known entity of the same type (``id, type, vector``) with the largest cosine, if that is enough; ties by id.
+
+    Exact, in blocks that meet as matrices. Left out are null ids and types, and vectors without a cosine: null, zero or with NaN.
+    """
+    sound = lambda rows: rows.filter(F.col("id").isNotNull() & ~F.exists("vector", F.isnan))
+    kind = known.schema["id"].dataType
+    asked = sound(new).select(F.col("id").cast(kind).alias("query_id"), "type", F.col("vector").alias("query"))
+    found = best(asked, sound(known), 1, match=("type",), itself=False).filter(F.col("score") >= threshold)
+    return found.select(F.col("query_id").cast(new.schema["id"].dataType).alias("id"), F.col("id").alias("match"), "score")
 
 
 def expanded(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
