@@ -105,7 +105,9 @@ def named_in(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])), lambda x: F.lower(F.trim(x)))
 
 
-SPREAD = 4  #: parts of each side of a norm, so that one that many name is not one task's; its lists are of as many parts squared
+SPREAD = 4  #: parts of each side of a norm, so that one that many name is not one task's
+LIST = 64  #: known entities in a list at about the most; a join's row is as many links, which a task holds at a time
+TASKS = 4  #: tasks that write links for each shuffle partition, as norms differ in how many links they have
 
 
 def _by_norm(rows: DataFrame, end: str) -> DataFrame:
@@ -114,23 +116,34 @@ def _by_norm(rows: DataFrame, end: str) -> DataFrame:
     return rows.groupBy(end, "norm").agg(F.min("document").alias(f"__{end}"), other.alias(f"__{end}s"))
 
 
+def _listed(targets: DataFrame) -> DataFrame:
+    """Known entities of one norm and documents as lists ``tgt``, with ``__column``, the part that a list belongs to; many are cut by a hash of their id."""
+    alike = ["norm", "__tgt", "__tgts", "__once"]
+    rows = targets.withColumn("__alike", F.xxhash64(*alike))
+    many = rows.groupBy("__alike").agg(F.ceil(F.count("*") / LIST).alias("__cuts")).filter("__cuts > 1")
+    cut = F.pmod(F.xxhash64("tgt"), F.coalesce("__cuts", F.lit(1))).alias("__cut")
+    lists = rows.join(F.broadcast(many), "__alike", "left").groupBy(*alike, "__alike", cut).agg(F.collect_list(F.struct("tgt")).alias("__ends"))
+    return lists.select(*alike, F.col("__ends.tgt").alias("tgt"), F.pmod(F.xxhash64("__alike", "__cut"), F.lit(SPREAD)).alias("__column"))
+
+
 def cross_links(new: DataFrame, known: DataFrame, patterns: tuple[str, ...], relation: str, confidence: float) -> DataFrame:
     """XD1, XD3: ``src, tgt, type, confidence`` where a new entity's value names a known one of another document (``id, value, norm, document``).
 
     Both sides are made distinct before they meet, so links to a known entity of one norm come once and are
     not shuffled; those to one of several norms, whose id is repeated, are made distinct after. Known entities
-    of one norm and document meet a new one as lists.
+    of one norm and document meet a new one as lists of bounded length. As links are far more than the rows
+    that meet, tasks are not merged by what they read.
     """
+    n = TASKS * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = new.select(F.col("id").alias("src"), F.explode(F.array_distinct(named_in(F.col("value"), patterns))).alias("norm"), "document")
     norms = known.filter("norm IS NOT NULL").select(F.col("id").alias("tgt"), F.lower("norm").alias("norm"), "document")
     targets = _by_norm(norms, "tgt").withColumn("__once", F.count("*").over(W.partitionBy("tgt")) == 1)
-    bucket = F.pmod(F.xxhash64("tgt"), F.lit(SPREAD * SPREAD)).alias("__bucket")
-    listed = targets.groupBy("norm", bucket, "__tgt", "__tgts", "__once").agg(F.collect_list(F.struct("tgt")).alias("__listed"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>"))
-    left = _by_norm(values, "src").withColumns({"__row": F.pmod(F.xxhash64("src"), F.lit(SPREAD)), "__column": parts})
-    right = listed.withColumns({"__column": F.col("__bucket") % SPREAD, "__row": parts})
+    key = ["norm", "__row", "__column"]
+    left = _by_norm(values, "src").withColumns({"__row": F.pmod(F.xxhash64("src"), F.lit(SPREAD)), "__column": parts}).repartition(n, *key)
+    right = _listed(targets).withColumn("__row", parts)
     apart = F.col("__srcs") | F.col("__tgts") | ~F.col("__src").eqNullSafe(F.col("__tgt"))
-    met = lambda some: left.join(right.filter(some), ["norm", "__row", "__column"]).filter(apart).select("src", F.inline("__listed"))
+    met = lambda some: left.join(right.filter(some).repartition(n, *key), key).filter(apart).select("src", F.explode("tgt").alias("tgt"))
     found = met("__once").unionByName(met("NOT __once").distinct())
     return found.select("src", "tgt", F.lit(relation).alias("type"), F.lit(confidence).alias("confidence"))
 
